@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsloom.session import table
+from newsloom.timestamps.mixture import publication_times
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = publication_times(*(table(spark, sf_dir, t) for t in ("news_items", "articles", "sites")))
+    return times.select("record_kind", "record_id", "utc_second")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p1_found": p1_found}
 
 
 def oracle_sql() -> dict[str, str]:
