@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsloom.llm.sentences import split_sentences
 from newsloom.llm.tokenize import encode_corpus
 from newsloom.session import table
 
@@ -14,8 +15,12 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sentences(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_ids": p8_ids}
+    return {"p8_ids": p8_ids, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
