@@ -112,7 +112,7 @@ DEVANAGARI = [
 ]
 THAI = [
     (JOIN, r"[—–:,(\-/•*]$", ANY),
-    (JOIN, ANY, r"\s*(?:[—–:,;)/\-]|ๆ|ฯ)"),
+    (JOIN, ANY, r"\s*(?:[—–:,;()/\-]|ๆ|ฯ)"),
     (JOIN, r"(?:ดร|พ\.ศ|รศ|ผศ)\.$", ANY),
     (BREAK, r"[฀-๿\d%”\"’)?!.]$", r"\s+[฀-๿“\"‘(\dA-Z]"),
 ]
