@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.llm.leakage import find_leaks
+from newsloom.llm import mojibake
 from newsloom.llm.sentences import split_sentences
 from newsloom.llm.tokenize import encode_corpus
 from newsloom.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = table(spark, sf_dir, "articles")
+    model = mojibake.fit(articles, table(spark, sf_dir, "sites"))
+    return mojibake.garbled_fields(mojibake.text_fields(table(spark, sf_dir, "news_items"), articles), model).select("record_kind", "record_id", "field")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -25,7 +32,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p3_found": p3_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
