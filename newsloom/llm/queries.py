@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm.leakage import find_leaks
 from newsloom.llm import mojibake
+from newsloom.llm.leakage import find_leaks
+from newsloom.llm.residue import residue
 from newsloom.llm.sentences import split_sentences
 from newsloom.llm.tokenize import encode_corpus
 from newsloom.session import table
@@ -19,6 +20,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled_fields(mojibake.text_fields(table(spark, sf_dir, "news_items"), articles), model).select("record_kind", "record_id", "field")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue(table(spark, sf_dir, "news_items"), table(spark, sf_dir, "articles")).select("record_kind", "record_id", "field")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -32,7 +37,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p3_found": p3_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
