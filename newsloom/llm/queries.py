@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.llm import mojibake
 from newsloom.llm.leakage import find_leaks
+from newsloom.llm.mainbody import foreign_lines
 from newsloom.llm.repeated import repeated_lines
 from newsloom.llm.residue import residue
 from newsloom.llm.sentences import split_sentences
@@ -21,6 +22,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled_fields(mojibake.text_fields(table(spark, sf_dir, "news_items"), articles), model).select("record_kind", "record_id", "field")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return foreign_lines(table(spark, sf_dir, "articles"), table(spark, sf_dir, "sites"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "articles")).select("article_id", "line_no")
 
@@ -42,7 +47,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
