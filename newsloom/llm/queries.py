@@ -5,15 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from newsloom.llm import mojibake
 from newsloom.llm.leakage import find_leaks
 from newsloom.llm.mainbody import foreign_lines
+from newsloom.llm.neardup import expanded, near_duplicates
 from newsloom.llm.repeated import repeated_lines
 from newsloom.llm.residue import residue
 from newsloom.llm.sentences import split_sentences
 from newsloom.llm.tokenize import encode_corpus
-from newsloom.session import table
+from newsloom.session import checkpointed, table
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = table(spark, sf_dir, "articles")
+    pairs, members = near_duplicates(articles.filter(F.length("content") >= 200))
+    pairs, members = checkpointed(pairs), checkpointed(members)
+    # contents that are garbled are left out; only those in some pair need a look
+    grouped = members.groupBy("rep").agg(F.count("*").alias("n")).filter("n > 1").select("rep")
+    looked = pairs.select(F.col("rep_a").alias("rep")).union(pairs.select("rep_b")).union(grouped).distinct()
+    texts = articles.join(looked, articles.article_id == looked.rep, "left_semi")
+    garbled = mojibake.garbled_fields(mojibake.text_fields(None, texts, ("content",)), mojibake.fit(articles, table(spark, sf_dir, "sites")))
+    bad = garbled.select(F.col("record_id").alias("rep")).distinct()
+    kept = members.join(bad, "rep", "left_anti")
+    return expanded(pairs, kept)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +63,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
