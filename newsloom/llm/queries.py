@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import mojibake
+from newsloom.llm import language, mojibake
 from newsloom.llm.leakage import find_leaks
 from newsloom.llm.mainbody import foreign_lines
 from newsloom.llm.neardup import expanded, near_duplicates
 from newsloom.llm.repeated import repeated_lines
 from newsloom.llm.residue import residue
 from newsloom.llm.sentences import split_sentences
+from newsloom.llm.sites import sample_texts
 from newsloom.llm.tokenize import encode_corpus
 from newsloom.session import checkpointed, table
 
@@ -38,6 +39,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled_fields(mojibake.text_fields(table(spark, sf_dir, "news_items"), articles), model).select("record_kind", "record_id", "field")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles, sites = table(spark, sf_dir, "articles"), table(spark, sf_dir, "sites")
+    sample = sample_texts(articles, sites, language.SAMPLE_ROWS)
+    repair = mojibake.train([(lang, content) for lang, _, content in sample])
+    model = language.train([(lang, content) for lang, _, content in sample])
+    return language.mislabelled(articles, language.document_languages(articles, sites, model, repair))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return foreign_lines(table(spark, sf_dir, "articles"), table(spark, sf_dir, "sites"))
 
@@ -63,7 +72,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
