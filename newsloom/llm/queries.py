@@ -16,17 +16,13 @@ from newsloom.llm.residue import residue
 from newsloom.llm.sentences import split_sentences
 from newsloom.llm.sites import sample_texts
 from newsloom.llm.tokenize import encode_corpus
-from newsloom.session import checkpointed, table
+from newsloom.session import table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = table(spark, sf_dir, "articles")
-    pairs, members = near_duplicates(articles.filter(F.length("content") >= 200))
-    pairs, members = checkpointed(pairs), checkpointed(members)
-    # contents that are garbled are left out; only those in some pair need a look
-    grouped = members.groupBy("rep").agg(F.count("*").alias("n")).filter("n > 1").select("rep")
-    looked = pairs.select(F.col("rep_a").alias("rep")).union(pairs.select("rep_b")).union(grouped).distinct()
-    texts = articles.join(looked, articles.article_id == looked.rep, "left_semi")
+    pairs, members, texts = near_duplicates(articles.filter(F.length("content") >= 200))
+    # contents that are garbled are left out; only those with a near-duplicate or a copy need a look
     garbled = mojibake.garbled_fields(mojibake.text_fields(None, texts, ("content",)), mojibake.fit(articles, table(spark, sf_dir, "sites")))
     bad = garbled.select(F.col("record_id").alias("rep")).distinct()
     kept = members.join(bad, "rep", "left_anti")
