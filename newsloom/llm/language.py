@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import mojibake
-from newsloom.llm.mainbody import key, line_flags, prepared
+from newsloom.llm.mainbody import line_flags, prepared
 from newsloom.llm.residue import evidence
 from newsloom.llm.sites import sample_texts
 
 #: Rows sampled to train on, bytes of a dictionary, and the share of a passage's bytes by which the best must beat the next.
 SAMPLE_ROWS, DICTIONARY_BYTES, MARGIN = 2500, 60_000, 0.02
 LEVEL = 3
+#: Excess log odds of a garbled passage from which the content is repaired first; less of it cannot change a language.
+REPAIR = 20.0
 
 # Frequent short words; they seed a dictionary and check lines to train on.
 FUNCTION_WORDS = {
@@ -68,6 +70,20 @@ def label_code(label: str | None) -> str | None:
     return NAMED.get(head, head if re.fullmatch(r"[a-z]{2,3}", head) and head not in NOTHING else None)
 
 
+_LETTERS = re.compile(r"[A-Za-z]")
+
+
+def script_counts(text: str) -> list[int]:
+    """Letters of a text by script, at the places of the groups of SCRIPTS."""
+    n = [0] * 7
+    if text.isascii():
+        n[1] = len(_LETTERS.findall(text))
+    else:
+        for m in SCRIPTS.finditer(text):
+            n[m.lastindex] += m.end() - m.start()
+    return n
+
+
 @dataclass
 class Model:
     dictionaries: dict[str, bytes]
@@ -99,9 +115,7 @@ class Model:
         return found
 
     def _classify(self, text: str) -> tuple[str | None, float]:
-        letters = [0] * 7
-        for m in SCRIPTS.finditer(text):
-            letters[m.lastindex] += m.end() - m.start()
+        letters = script_counts(text)
         # a character of a script without spaces says as much as some letters
         weighed = [n * (3 if k in (3, 4) else 1) for k, n in enumerate(letters)]
         script = max(range(1, 7), key=weighed.__getitem__)
@@ -142,9 +156,7 @@ def train(sample: list[tuple[str, str]]) -> Model:
 
 def line_language(line: str) -> str | None:
     """A label for training: script, or a clear majority of function words."""
-    letters = [0] * 7
-    for m in SCRIPTS.finditer(line):
-        letters[m.lastindex] += m.end() - m.start()
+    letters = script_counts(line)
     if sum(letters) < 15:
         return None
     script = max(range(1, 7), key=letters.__getitem__)
@@ -174,9 +186,9 @@ def sentence_count(text: str, lang: str | None) -> int:
 
 def pieces(line: str) -> list[str]:
     """The line, or its sentences where it mixes scripts."""
-    n = [0] * 7
-    for m in SCRIPTS.finditer(line):
-        n[m.lastindex] += m.end() - m.start()
+    if line.isascii():
+        return [line]
+    n = script_counts(line)
     n[3] += n[4]
     n[4] = 0
     total = sum(n)
@@ -213,11 +225,12 @@ def passages(found: list[tuple[int, str, str | None, float]]) -> dict[str, tuple
 
 def article_languages(content: str, html: str | None, repeated: list[bool], source: str | None, site_lang: str | None, model: Model, repair: mojibake.Model | None) -> list[tuple[str, float]]:
     """(language, confidence) of the main body, the main language first; empty if there are no letters to judge."""
-    name = key(source) if source else ""
+    name = source.casefold() if source else ""
+    named = bool(name) and name in content.casefold()
     texts = content.split("\n")
-    kept = [not r and not (name and len(t) < 200 and name in key(t)) and " > " not in t for t, r in zip(texts, repeated, strict=True)]
+    kept = [not r and not (named and len(t) < 200 and name in t.casefold()) and " > " not in t for t, r in zip(texts, repeated, strict=True)]
     lost = False
-    if repair is not None and (mojibake.LOST.search(content) or mojibake.SWAPPED.search(content) or repair.excess([content])[0] >= mojibake.GATE):
+    if repair is not None and (mojibake.LOST.search(content) or mojibake.SWAPPED.search(content) or repair.excess([content])[0] >= REPAIR):
         fixed = mojibake.examine(content, repair)[1].split("\n")
         # what lost its characters says nothing of its language
         lost = any(mojibake.LOST.search(t) for t in fixed)

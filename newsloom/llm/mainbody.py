@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.residue import normal_line, recurrent_lines
+from newsloom.llm.residue import normal_line, with_recurrent
 from newsloom.llm.sites import with_site
 
 #: Width of the Gaussian in lines, and the share of a line's characters in links that makes it navigation.
@@ -242,7 +242,7 @@ def line_flags(content: str, html: str, repeated: list[bool], source: str | None
 def prepared(articles: DataFrame, sites: DataFrame) -> DataFrame:
     """(article_id, content, raw_html, repeated array<boolean>, site_source) of articles with content."""
     with_content = articles.filter(F.length("content") > 0).select("article_id", "url", "content", "raw_html")
-    known = with_site(with_content, sites, ("source", "lang")).join(recurrent_lines(articles), "site_key", "left")
+    known = with_recurrent(with_site(with_content, sites, ("source", "lang")), articles, sites)
     lines = F.transform(F.split("content", "\n"), lambda x: F.coalesce(F.array_contains("recurrent", F.xxhash64(normal_line(x))), F.lit(False)))
     return known.select("article_id", "content", "raw_html", lines.alias("repeated"), "site_source", "site_lang")
 

@@ -52,7 +52,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue(table(spark, sf_dir, "news_items"), table(spark, sf_dir, "articles")).select("record_kind", "record_id", "field")
+    return residue(table(spark, sf_dir, "news_items"), table(spark, sf_dir, "articles"), table(spark, sf_dir, "sites")).select("record_kind", "record_id", "field")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
