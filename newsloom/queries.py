@@ -1,23 +1,234 @@
-"""Queries of the core operators, and their SQL."""
+"""Queries of the core operators; their SQL is in ``newsloom.oracles``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from newsloom import oracles
+from newsloom.functions import encoding, times, titles, urls
+from newsloom.operators import clustering, links, patterns, similarity
+from newsloom.samples import NAMES, PAIRS, TEMPLATES, TIMES, TITLES, URLS
 from newsloom.session import table
 from newsloom.timestamps.mixture import publication_times
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    times = publication_times(*(table(spark, sf_dir, t) for t in ("news_items", "articles", "sites")))
-    return times.select("record_kind", "record_id", "utc_second")
 
+def literal(spark: SparkSession, rows: list, names: list[str]) -> DataFrame:
+    return spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], ", ".join(f"{n} string" for n in names))
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+
+def all_urls(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [table(spark, sf, t).select("url") for t in ("news_items", "articles", "pages_in", "seeds")]
+    out = literal(spark, URLS, ["url"])
+    for p in parts:
+        out = out.unionByName(p)
+    return out.filter(F.col("url").isNotNull()).distinct()
+
+
+def all_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    items, pages = table(spark, sf, "news_items"), table(spark, sf, "pages_in")
+    found = items.select("page_id", "url").join(pages.select("page_id", F.col("base_url").alias("base")), "page_id").select("url", "base")
+    return found.unionByName(literal(spark, PAIRS, ["url", "base"])).distinct()
+
+
+def domains(spark: SparkSession, sf: str) -> DataFrame:
+    return all_urls(spark, sf).select(urls.netloc(F.col("url")).alias("domain")).distinct()
+
+
+def item_urls(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "news_items").filter(F.col("url").isNotNull()).select("page_id", "url").distinct()
+
+
+def host_urls(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    rows = table(spark, sf, name).filter(F.col("url").isNotNull())
+    return rows.select(urls.site_host(F.col("url")).alias("host"), "url").distinct()
+
+
+def of_urls(columns: Callable[[], list]) -> Query:
+    return lambda spark, sf: all_urls(spark, sf).select("url", *columns())
+
+
+def of_pairs(columns: Callable[[], list]) -> Query:
+    return lambda spark, sf: all_pairs(spark, sf).select("url", "base", *columns())
+
+
+def page_links(spark: SparkSession, sf: str) -> DataFrame:
+    return links.scan_links(table(spark, sf, "pages_in").filter(F.col("html").isNotNull()))
+
+
+def title_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "news_items").select("title").unionByName(literal(spark, TITLES, ["title"])).filter(F.col("title").isNotNull()).distinct()
+
+
+def time_texts(spark: SparkSession, sf: str) -> DataFrame:
+    found = [table(spark, sf, t).select(F.col("publish_time").alias("text")) for t in ("news_items", "articles")]
+    return literal(spark, TIMES, ["text"]).unionByName(found[0]).unionByName(found[1]).filter(F.col("text").isNotNull()).distinct()
+
+
+def of_titles(columns: Callable[[], list]) -> Query:
+    return lambda spark, sf: title_texts(spark, sf).select("title", *columns())
+
+
+def of_times(columns: Callable[[], list]) -> Query:
+    return lambda spark, sf: time_texts(spark, sf).select("text", *columns())
+
+
+def components(spark: SparkSession, sf: str) -> DataFrame:
+    return all_urls(spark, sf).select("url", urls.url_components(F.col("url")).alias("c"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = publication_times(*(table(spark, sf, t) for t in ("news_items", "articles", "sites")))
+    return found.select("record_kind", "record_id", "utc_second")
+
+
+def anchors(spark: SparkSession, sf: str) -> DataFrame:
+    return clustering.anchor_urls(item_urls(spark, sf), ["page_id"])
+
+
+def similar(spark: SparkSession, sf: str) -> DataFrame:
+    everything, samples = item_urls(spark, sf), anchors(spark, sf)
+    found = similarity.similar_urls(samples, everything.join(samples, ["page_id", "url"], "left_anti"), ["page_id"])
+    return found.withColumn("score", F.round("score", 6))
+
+
+def url_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Score of each pair of literal URLs of one site."""
+    c = literal(spark, URLS, ["url"]).select("url", urls.url_components(F.col("url")).alias("c")).withColumn("root", urls.root_key(F.col("c.domain")))
+    a, b = c.select("root", F.col("url").alias("url_a"), F.col("c").alias("a")), c.select("root", F.col("url").alias("url_b"), F.col("c").alias("b"))
+    return a.join(b, "root").select("url_a", "url_b", F.round(similarity.similarity(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+def site_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    return patterns.learn_patterns(host_urls(spark, sf, "articles"), ["host"])
+
+
+def contained(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "news_items").withColumn("container", F.col("pos") % 3)
+
+
+def merged(spark: SparkSession, sf: str) -> DataFrame:
+    items = contained(spark, sf)
+    scores = links.score_items(items, ["page_id", "container"])
+    best = scores.groupBy("page_id").agg(F.max("score").alias("best"))
+    kept = items.join(scores, ["page_id", "container"]).join(best, "page_id").filter(F.col("score") >= 0.6 * F.col("best")).withColumn("low", -F.col("score"))
+    return links.keep_first(kept, ["page_id", "url"], ["low", "container", "pos", "item_id"]).select("item_id", "page_id", "url")
+
+
+def enriched(spark: SparkSession, sf: str) -> DataFrame:
+    """Items with the article of their URL: the article's fields, else the item's."""
+    crawled = links.keep_first(table(spark, sf, "articles").select("article_id", "url", "title", "publish_time", "content", "success"), ["url"], ["article_id"])
+    return (
+        table(spark, sf, "news_items").alias("i").join(crawled.alias("a"), "url", "left")
+        .select(
+            "i.item_id", "a.article_id", F.coalesce(F.nullif(F.col("a.title"), F.lit("")), F.col("i.title")).alias("title"),
+            F.coalesce(F.nullif(F.col("a.publish_time"), F.lit("")), F.col("i.publish_time")).alias("publish_time"),
+            F.coalesce(F.col("a.success") & (F.coalesce(F.col("a.content"), F.lit("")) != ""), F.lit(False)).alias("fetched"),
+        )
+    )
+
+
+def success_counts(spark: SparkSession, sf: str) -> DataFrame:
+    good = F.col("success") & (F.coalesce(F.col("content"), F.lit("")) != "")
+    return table(spark, sf, "articles").groupBy("source").agg(F.count_if(good).alias("success_count"), F.count_if(~good).alias("failed_count"))
+
+
+def list_results(spark: SparkSession, sf: str) -> DataFrame:
+    counts = table(spark, sf, "news_items").groupBy("page_id").agg(F.count("*").alias("n"))
+    pages = table(spark, sf, "pages_in").select("page_id", "url")
+    return pages.join(counts, "page_id", "left").select("page_id", "url", F.coalesce("n", F.lit(0)).alias("total_count"), F.col("n").isNotNull().alias("success"))
+
+
+def set_operation(name: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        a, b = (table(spark, sf, t).filter(F.col("url").isNotNull()).select("url") for t in ("news_items", "articles"))
+        return {"union": lambda: a.union(b).distinct(), "intersect": lambda: a.intersect(b), "except": lambda: a.subtract(b)}[name]()
+
+    return run
+
+
+def items_as_json(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "news_items").select("item_id", F.to_json(F.struct("title", "url", "publish_time", "timestamp")).alias("item"))
+
+
+def queries() -> dict[str, Query]:
+    u = lambda: F.col("url")
+    b = lambda: F.col("base")
+    item_ids = lambda spark, sf: table(spark, sf, "news_items")
+    return {
+        "links_scan": lambda s, d: page_links(s, d).select("page_id", "pos", "href", "url", "text"),
+        "base_url": of_urls(lambda: [urls.base_url(u()).alias("base_url")]),
+        "root_domain": lambda s, d: domains(s, d).select("domain", urls.root_domain(F.col("domain")).alias("root_domain")),
+        "domain_name": lambda s, d: domains(s, d).select("domain", urls.domain_name(F.col("domain")).alias("domain_name")),
+        "same_site": of_pairs(lambda: [urls.same_site(u(), b()).alias("same_site")]),
+        "external_service": of_urls(lambda: [urls.external_service(u()).alias("external")]),
+        "non_news_filter": of_urls(lambda: [urls.not_news(u()).alias("not_news")]),
+        "pagination_filter": of_urls(lambda: [urls.pagination(u()).alias("pagination")]),
+        "news_candidates": lambda s, d: all_pairs(s, d).filter(urls.news_candidate(u(), b())),
+        "same_site_urls": lambda s, d: item_ids(s, d)
+        .join(table(s, d, "pages_in").select("page_id", F.col("base_url").alias("base")), "page_id")
+        .filter(urls.news_candidate(u(), b()))
+        .select("item_id", urls.absolute(u(), b()).alias("url")),
+        "valid_news_url": lambda s, d: all_pairs(s, d).filter(urls.valid_news_url(u(), b())),
+        "confident_items": lambda s, d: item_ids(s, d).filter(urls.confident_item(F.col("title"), u())).select("item_id"),
+        "classify_url": of_urls(lambda: [urls.classify_url(u())[k].alias(k) for k in ("page_type", "confidence")]),
+        "article_index_flags": of_urls(
+            lambda: [((urls.classify_url(u())["page_type"] == t) & (urls.classify_url(u())["confidence"] >= 0.6)).alias(f"is_{t}") for t in ("article", "index")]
+        ),
+        "url_components": lambda s, d: components(s, d).select(
+            "url", "c.domain", F.array_join("c.path_segments", "|").alias("path_segments"), F.array_join("c.segment_types", "|").alias("segment_types"), "c.extension", "c.prefix_pattern", "c.has_date_segment"
+        ),
+        "segment_types": lambda s, d: components(s, d)
+        .select(F.explode("c.path_segments").alias("segment")).groupBy("segment").agg(F.count("*").alias("n"))
+        .select("segment", urls.segment_type(F.col("segment")).alias("segment_type"), "n"),
+        "detail_topic_pages": lambda s, d: components(s, d).select("url", urls.likely_detail(F.col("c")).alias("likely_detail"), urls.likely_topic(F.col("c")).alias("likely_topic")),
+        "high_confidence_url": of_urls(lambda: [urls.confident_detail(u()).alias("confident")]),
+        "same_root_domain": of_pairs(lambda: [urls.same_root(urls.netloc(u()), urls.netloc(b())).alias("same_root")]),
+        "structure_clusters": lambda s, d: clustering.structure_clusters(item_urls(s, d), ["page_id"]),
+        "semi_main_cluster": lambda s, d: clustering.main_structure_urls(item_urls(s, d), ["page_id"]),
+        "anchor_urls": anchors,
+        "anti_candidates": lambda s, d: item_urls(s, d).join(anchors(s, d), ["page_id", "url"], "left_anti"),
+        "templates_similar": lambda s, d: literal(s, TEMPLATES, ["t1", "t2"]).select("t1", "t2", clustering.templates_similar(F.col("t1"), F.col("t2")).alias("similar")),
+        "learned_static": lambda s, d: clustering.learned_static(item_urls(s, d), ["page_id"]).select("page_id", F.explode("learned").alias("segment")),
+        "similar_urls": similar,
+        "url_similarity": url_similarity,
+        "url_patterns": lambda s, d: site_patterns(s, d).withColumn("confidence", F.round("confidence", 6)),
+        "pattern_match": lambda s, d: patterns.match_patterns(host_urls(s, d, "news_items"), site_patterns(s, d), ["host"]).withColumn("confidence", F.round("confidence", 6)),
+        "enhance_urls": lambda s, d: patterns.enhance_urls(host_urls(s, d, "articles"), host_urls(s, d, "news_items"), ["host"]),
+        "clean_title": of_titles(lambda: [titles.clean_title(F.col("title")).alias("cleaned")]),
+        "clean_link_text": of_titles(lambda: [titles.clean_link_text(F.col("title")).alias("cleaned")]),
+        "clean_text": of_titles(lambda: [titles.clean_text(F.col("title")).alias("cleaned")]),
+        "valid_title": of_titles(lambda: [titles.valid_title(F.col("title")).alias("valid")]),
+        "extract_time": of_times(lambda: [times.find_time(F.col("text")).alias("found")]),
+        "short_time_text": of_times(lambda: [times.short_time_text(F.col("text")).alias("could_be")]),
+        "normalize_time": of_times(lambda: [times.to_epoch(F.col("text")).alias("epoch")]),
+        "normalize_encoding": lambda s, d: literal(s, NAMES, ["name"]).select("name", encoding.normalize_encoding(F.col("name")).alias("encoding")),
+        "charset_content_type": lambda s, d: table(s, d, "pages_in").select("page_id", encoding.charset_of_content_type(F.col("content_type")).alias("charset")),
+        "charset_html": lambda s, d: table(s, d, "pages_in").filter(F.col("body").isNotNull()).select("page_id", encoding.charset_of_html(F.col("body")).alias("charset")),
+        "misread_gate": lambda s, d: item_ids(s, d).filter(encoding.looks_misread(F.col("title"))).select("item_id"),
+        "decoded_pages": lambda s, d: table(s, d, "pages_in").select("page_id", encoding.decoded_page(F.col("html"), F.col("body"), F.col("content_type")).alias("p")).select("page_id", "p.text", "p.encoding"),
+        "dedup_first": lambda s, d: links.keep_first(item_ids(s, d), ["page_id", "url"], ["pos", "item_id"]).select("item_id", "page_id", "url"),
+        "topk_per_page": lambda s, d: links.top_k(item_ids(s, d), ["page_id"], ["pos", "item_id"], 5).select("item_id", "page_id", "pos"),
+        "neighbour_times": lambda s, d: item_ids(s, d).select("item_id", links.neighbour_value("publish_time", ["page_id"], ["pos", "item_id"]).alias("neighbour")),
+        "url_map": lambda s, d: links.url_map(page_links(s, d)),
+        "longest_link_text": lambda s, d: links.longest_text_link(page_links(s, d)),
+        "score_items": lambda s, d: links.score_items(item_ids(s, d), ["page_id"]).withColumn("score", F.round("score", 6)),
+        "merge_lists": merged,
+        "item_article_join": enriched,
+        "success_counts": success_counts,
+        "list_results": list_results,
+        "valid_articles": lambda s, d: table(s, d, "articles").filter(F.col("success") & (F.length("content") > 50)).select("article_id"),
+        "url_operators_union": set_operation("union"),
+        "url_operators_intersect": set_operation("intersect"),
+        "url_operators_except": set_operation("except"),
+        "items_as_json": items_as_json,
+        "p1_found": p1_found,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
