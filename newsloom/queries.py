@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from newsloom import oracles
 from newsloom.functions import encoding, times, titles, urls
-from newsloom.operators import clustering, links, patterns, similarity
+from newsloom.operators import clustering, links, patterns, similarity, zones
+from newsloom.plans.article import parse_articles
+from newsloom.plans.collect import collect, list_results as page_results, with_timestamps
+from newsloom.plans.listing import list_items
 from newsloom.samples import NAMES, PAIRS, TEMPLATES, TIMES, TITLES, URLS
-from newsloom.session import table
+from newsloom.session import checkpointed, table
+from newsloom.sources.dom import dom_nodes
+from newsloom.sources.web import as_json
 from newsloom.timestamps.mixture import publication_times
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,7 +96,7 @@ def anchors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def similar(spark: SparkSession, sf: str) -> DataFrame:
-    everything, samples = item_urls(spark, sf), anchors(spark, sf)
+    everything, samples = item_urls(spark, sf), checkpointed(anchors(spark, sf))
     found = similarity.similar_urls(samples, everything.join(samples, ["page_id", "url"], "left_anti"), ["page_id"])
     return found.withColumn("score", F.round("score", 6))
 
@@ -151,6 +156,35 @@ def set_operation(name: str) -> Query:
     return run
 
 
+def decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """List pages with their text, decoded where only bytes are kept."""
+    pages = table(spark, sf, "pages_in")
+    page = encoding.decoded_page(F.col("html"), F.col("body"), F.col("content_type"))
+    return pages.select("page_id", "url", "base_url", "fetched_at", page["text"].alias("html"))
+
+
+def lit_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of the links whose URL is an anchor of its page: (page_id, node, path)."""
+    pages = decoded(spark, sf)
+    nodes = dom_nodes(pages).filter("tag = 'a' and href is not null")
+    full = nodes.join(pages.select("page_id", "base_url"), "page_id").select("page_id", "node", "path", urls.absolute(F.col("href"), F.col("base_url")).alias("url"), "base_url")
+    # written once: every later rule refers to the absolute URL, and a page is shredded once
+    found = checkpointed(checkpointed(full).filter(urls.news_candidate(F.col("url"), F.col("base_url"))).select("page_id", "node", "path", "url"))
+    return found.join(clustering.anchor_urls(found, ["page_id"]), ["page_id", "url"], "left_semi").select("page_id", "node", "path")
+
+
+def article_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "articles").filter(F.col("raw_html").isNotNull()).select("article_id", "url", F.col("raw_html").alias("html"))
+
+
+def collect_report(spark: SparkSession, sf: str) -> DataFrame:
+    return collect(decoded(spark, sf), article_pages(spark, sf))[1]
+
+
+def collected_articles(spark: SparkSession, sf: str) -> DataFrame:
+    return collect(decoded(spark, sf), article_pages(spark, sf))[0]
+
+
 def items_as_json(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "news_items").select("item_id", F.to_json(F.struct("title", "url", "publish_time", "timestamp")).alias("item"))
 
@@ -226,6 +260,16 @@ def queries() -> dict[str, Query]:
         "url_operators_intersect": set_operation("intersect"),
         "url_operators_except": set_operation("except"),
         "items_as_json": items_as_json,
+        "dom_nodes": lambda s, d: dom_nodes(decoded(s, d)),
+        "heat_map": lambda s, d: zones.heat_map(lit_links(s, d)),
+        "hot_zones": lambda s, d: zones.hot_zones(lit_links(s, d)).select("page_id", "node", "zone", "zone_size", "zone_root"),
+        "boundaries": lambda s, d: zones.boundaries(zones.hot_zones(lit_links(s, d))),
+        "list_items": lambda s, d: with_timestamps(list_items(decoded(s, d))),
+        "page_results": lambda s, d: page_results(decoded(s, d)),
+        "article_extract": lambda s, d: parse_articles(article_pages(s, d), ("article_id", "url")),
+        "articles_as_json": lambda s, d: as_json(table(s, d, "articles"), ["article_id"]),
+        "collect_report": collect_report,
+        "collected_articles": collected_articles,
         "p1_found": p1_found,
     }
 
