@@ -42,6 +42,16 @@ def utc_second(column: str, kind: str) -> Column:
     return F.expr(f"cast(floor(unix_micros(try_cast(`{column}` as timestamp)) / 1000000) as bigint)")
 
 
+def readings(text: str | None, tz: str | None, lang: str | None, crawl: int) -> dict[str, int] | None:
+    """``read`` where an unknown zone counts as UTC and a time beyond the calendar as none."""
+    try:
+        return read(text, tz or "UTC", lang, crawl)
+    except KeyError:  # no such zone
+        return read(text, "UTC", lang, crawl)
+    except (OverflowError, ValueError, OSError):
+        return None
+
+
 def lag_bin(seconds: int) -> int:
     days = seconds / 86400
     return 0 if days < -1 else 1 if days <= 2 else 2 if days <= 40 else 3
@@ -81,7 +91,7 @@ def source_weights(records: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for key, tz, lang, known, text, crawl in pdf.itertuples(index=False):
-                found = read(text, tz, lang, int(crawl))
+                found = readings(text, tz, lang, int(crawl))
                 if found and "" not in found:
                     rows.append((key, known, *(lag_bin(int(crawl) - found[o]) if o in found else -1 for o in ORDERS)))
             yield pd.DataFrame(rows, columns=["source_key", "known", *ORDERS])
@@ -127,10 +137,7 @@ def normalize_times(records: DataFrame, sites: DataFrame, certain: float = 0.9)
             out = []
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             for kind, rid, text, count, crawl, tz, lang, known, weights in zip(*columns, strict=True):
-                try:
-                    found = read(text, tz or "UTC", lang, crawl if crawl is not None else 0)
-                except (OverflowError, ValueError, OSError):
-                    found = None
+                found = readings(text, tz, lang, crawl if crawl is not None else 0)
                 if found is not None:
                     if weights is None:
                         weights = fit_source(np.full((1, 3), -1), np.zeros(1), known).tolist()
