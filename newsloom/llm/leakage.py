@@ -59,9 +59,9 @@ class ItemSuffixes:
         parts = [table[code_points(t or "")] for t in texts]
         self.folded = [p[p > 0] for p in parts]
         self.strings = ["".join(map(chr, p.tolist())) for p in self.folded]
-        self.lengths = np.array([len(p) for p in self.folded])
+        self.lengths = np.array([len(p) for p in self.folded], np.int64)
         self.owner = np.repeat(np.arange(len(ids)), self.lengths)
-        self.place = np.concatenate([np.arange(n) for n in self.lengths]) if len(ids) else np.zeros(0, int)
+        self.place = np.concatenate([np.arange(n) for n in self.lengths]).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
         first, second, is_dense, whole = [], [], [], []
         for p in self.folded:
             w = words(p)
