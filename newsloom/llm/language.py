@@ -23,9 +23,11 @@ from newsloom.llm.mainbody import line_flags, prepared
 from newsloom.llm.residue import evidence
 from newsloom.llm.sites import sample_texts
 
-#: Rows sampled to train on, bytes of a dictionary, and the share of a passage's bytes by which the best must beat the next.
-SAMPLE_ROWS, DICTIONARY_BYTES, MARGIN = 2500, 60_000, 0.02
+#: Rows sampled to train on, bytes of a dictionary, and the share of the next best size by which the best must beat it.
+SAMPLE_ROWS, DICTIONARY_BYTES, MARGIN = 2500, 60_000, 0.05
 LEVEL = 3
+#: Characters of a passage that are compressed at a time.
+PART = 600
 #: Excess log odds of a garbled passage from which the content is repaired first; less of it cannot change a language.
 REPAIR = 20.0
 
@@ -127,11 +129,13 @@ class Model:
         share = (weighed[3] + weighed[4] if script in (3, 4) else weighed[script]) / sum(weighed)
         if len(candidates) == 1:
             return candidates[0], share
-        raw = text.encode("utf-8", "surrogatepass")
+        # long passages go in parts, so that what they repeat themselves does not hide what the dictionary knows
+        parts = [text] if len(text) <= PART else [text[k : k + PART] for k in range(0, len(text), PART)]
+        raws = [p.encode("utf-8", "surrogatepass") for p in parts]
         compressors = self.compressors()
-        sizes = sorted((len(compressors[c].compress(raw)), c) for c in candidates)
+        sizes = sorted((sum(len(compressors[c].compress(r)) for r in raws), c) for c in candidates)
         (best, lang), (second, _) = sizes[0], sizes[1]
-        margin = (second - best) / max(len(raw), 1)
+        margin = (second - best) / max(second, 1)
         if margin < MARGIN:
             return None, share * (0.5 + margin / MARGIN / 4)
         return lang, share * (1 - best / max(second, 1) / 2)
