@@ -24,7 +24,7 @@ from newsloom.llm.residue import evidence
 from newsloom.llm.sites import sample_texts
 
 #: Rows sampled to train on, bytes of a dictionary, and the share of the next best size by which the best must beat it.
-SAMPLE_ROWS, DICTIONARY_BYTES, MARGIN = 2500, 60_000, 0.12
+SAMPLE_ROWS, DICTIONARY_BYTES, MARGIN = 2500, 60_000, 0.08
 LEVEL = 3
 #: Characters of a passage that are compressed at a time.
 PART = 600
@@ -36,7 +36,7 @@ FUNCTION_WORDS = {
     "en": "the of and to in for a is with by on at from has was that after under before",
     "de": "der die das und den dem ein eine mit auf für von nach im am zum zur bei ist nicht",
     "fr": "le la les des du et une un à pour dans sur avec est de par au aux ce que",
-    "es": "el la los las de y en un una por para con del su se al que más tras a no ante",
+    "es": "el la los las de y en un una por para con del su se al que más tras no ante",
     "pt": "o a os as de e em um uma para com do da no na ao por dos das não",
     "vi": "của và là các những cho trong với một được tại không đã người ở về sau trước",
     "ru": "и в на с по для из не что от до как за при без",
@@ -145,16 +145,18 @@ class Model:
 
 def fit(articles: DataFrame, sites: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Dictionaries from a bounded sample of ``rows`` labelled articles."""
-    return train([(lang, content) for lang, _, content in sample_texts(articles, sites, rows)])
+    return train(sample_texts(articles, sites, rows))
 
 
-def train(sample: list[tuple[str, str]]) -> Model:
+def train(sample: list[tuple[str | None, str | None, str]]) -> Model:
+    """``sample``: (language of the site, label, content).  A line trains a language that its words speak for and that its site or its label names."""
     parts: dict[str, list[str]] = {k: [] for k in FUNCTION_WORDS}
     used = dict.fromkeys(FUNCTION_WORDS, 0)
-    for _, content in sample:
+    for site_lang, label, content in sample:
+        named = {site_lang, label_code(label)}
         for line in content.split("\n"):
             lang = line_language(line)
-            if lang and used[lang] < DICTIONARY_BYTES and mojibake.is_clean(line, lang):
+            if lang and lang in named and used[lang] < DICTIONARY_BYTES and mojibake.is_clean(line, lang):
                 parts[lang].append(line)
                 used[lang] += len(line.encode())
     return Model({k: (FUNCTION_WORDS[k] + "\n" + "\n".join(v)).encode()[-DICTIONARY_BYTES:] for k, v in parts.items()})

@@ -39,7 +39,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles, sites = table(spark, sf_dir, "articles"), table(spark, sf_dir, "sites")
     sample = sample_texts(articles, sites, language.SAMPLE_ROWS)
     repair = mojibake.train([(lang, content) for lang, _, content in sample])
-    model = language.train([(lang, content) for lang, _, content in sample])
+    model = language.train(sample)
     return language.mislabelled(articles, language.document_languages(articles, sites, model, repair))
 
 
