@@ -27,6 +27,8 @@ BUCKETS, SAMPLE_ROWS, LANGUAGE_CHARS, GARBLED_CHARS = 8192, 2500, 400_000, 30_00
 #: Excess log odds of a passage from which a field is looked at, and from which a line is garbled
 #: though nothing restores it.
 GATE, CERTAIN = 3.0, 14.0
+#: Log odds by which a chain trails the likeliest one so far that it need not be tried.
+HOPELESS = 80.0
 
 # Fixed values: (true encoding, wrong encoding, times).
 CHAINS = [
@@ -239,6 +241,7 @@ def restore_line(line: str, model: Model) -> tuple[str, tuple[str, str, int] | N
     margin = min(margin, excess)
     before, n_before = model.clean_score(line)
     tried = set()
+    top = float(scores[is_garbled].max())
     best: tuple[float, str, tuple[str, str, int]] | None = None
     for k in np.argsort(-scores):
         chain = model.classes[k]
@@ -258,7 +261,7 @@ def restore_line(line: str, model: Model) -> tuple[str, tuple[str, str, int] | N
             mean = after / max(n, 1)
             if gain > 6.0 and mean > before / max(n_before, 1) and (best is None or mean > best[0]):
                 best = mean, after_text, chain
-        if best is not None and len(tried) >= 6:
+        if len(tried) >= 6 and (best is not None or scores[k] < top - HOPELESS):
             break
     return (best[1], best[2], margin) if best else (line, None, margin)
 
