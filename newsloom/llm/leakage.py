@@ -85,7 +85,7 @@ class ItemSuffixes:
 def grow(q: str, t: str, p: int, d: int, least: int) -> tuple[int, int, int]:
     """Grow the match of q[p:] and t[d:] to the right over changes of up to BRIDGE characters.
 
-    Returns the characters of q that are held (small changes count), and the ends in q and t.
+    Returns the characters of q that are held (changed ones do not count), and the ends in q and t.
     """
     held = 0
     nq, nt = len(q), len(t)
@@ -108,7 +108,6 @@ def grow(q: str, t: str, p: int, d: int, least: int) -> tuple[int, int, int]:
         if best is None:
             return held, p, d
         ga, gb = best
-        held += ga if ga <= BRIDGE // 2 else 0
         p, d = p + ga, d + gb
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.sites import url_host
+from newsloom.llm.sites import small_side, url_host
 from newsloom.llm.textcodes import chunks, joined
 from newsloom.session import checkpointed
 
@@ -118,10 +118,11 @@ def repeated_lines(articles: DataFrame) -> DataFrame:
     """
     cuts = chunked(articles)
     totals = articles.filter(F.length("content") > 0).select(url_host(F.col("url")).alias("site_key"), "url").distinct().groupBy("site_key").agg(F.count("*").alias("all_urls"))
+    totals = small_side(totals)
     all_chunks = F.array_distinct(F.flatten(F.transform("lines", lambda x: x["chunks"])))
     repeated = excessive(cuts.select("site_key", "page", F.explode(all_chunks).alias("chunk")), "chunk", totals)
-    # At most mean-chunks-per-page / MIN_SHARE chunks a site can be repeated excessively.
-    by_site = repeated.groupBy("site_key").agg(F.collect_set("chunk").alias("repeated"))
+    # At most mean-chunks-per-page / MIN_SHARE chunks a site can be repeated excessively: one bounded row a site.
+    by_site = small_side(repeated.groupBy("site_key").agg(F.collect_set("chunk").alias("repeated")))
     candidates = (
         cuts.join(by_site, "site_key")
         .select("article_id", "site_key", "page", F.explode(F.filter("lines", lambda x: F.forall(x["chunks"], lambda c: F.array_contains("repeated", c)))).alias("line"))

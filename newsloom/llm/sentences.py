@@ -49,7 +49,8 @@ ENGLISH = [
 ]
 GERMAN = [
     (JOIN, r"\b(?:Dr|Prof|Hr|Fr|Fa|St|Nr|Abs|Art|Bd|Kap|Abb|Tab|bzw|ca|evtl|ggf|inkl|zzgl|vgl|lt|gem|sog|Mio|Mrd|Tsd|Str|[zZ]|z\.\s?B|d|u|d\.\s?h|u\.\s?a|i\.\s?d|o\.\s?ä|[Ss]|geb|gest|röm|ehem)\.$", ANY),
-    (JOIN, r"(?:^|[^\d.,])\d{1,2}\.$", r"\s+[A-ZÄÖÜa-zäöü]"),
+    (BREAK, r"[^\d.,]\d{1,3}\.$", r"\s+(?:Der|Die|Das|Den|Dem|Ein|Eine|Wer|Was|Wie|Am|Im|In|An|Auf|Nach|Vor|Mit|Und|Aber|Es|Er|Sie|Wir|Ich|Für|Ohne|Trotz|Unter|Gegen|Zum|Zur|Bei|Während|Dr)\b"),
+    (JOIN, r"(?:^|[^\d.,])\d{1,3}\.$", r"\s+[A-ZÄÖÜa-zäöü]"),
     (JOIN, r"\b(?:usw|etc|u\.\s?dgl|h|a|B)\.$", r"\s*[a-zäöüß,;:)\d]"),
     (JOIN, r"\b[zdui]\.\s?[BhaR]\.$", ANY),
 ]
@@ -130,7 +131,7 @@ CASCADES = {
     "zh": [CJK, LATIN_AND_CYRILLIC],
     "th": [THAI, LATIN_AND_CYRILLIC, STRONG],
     "lower": [LOWER_CASE, STRONG],
-    "": [ENGLISH, GERMAN[:1] + GERMAN[2:], FRENCH, SPANISH, PORTUGUESE, VIETNAMESE, LATIN_AND_CYRILLIC, STRONG],
+    "": [ENGLISH, GERMAN[:1] + GERMAN[3:], FRENCH, SPANISH, PORTUGUESE, VIETNAMESE, LATIN_AND_CYRILLIC, STRONG],
 }
 TABLES = {k: [(b, compiled(x).search, compiled(y).match) for table in v for b, x, y in table] for k, v in CASCADES.items()}
 
@@ -144,11 +145,15 @@ FUNCTION_WORDS = {
     "vi": "của và là các những cho trong với một được tại không đã người ở về sau",
 }
 WORDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-SCRIPTS = re.compile(r"([฀-๿])|([ऀ-ॿ])|([぀-ヿ一-鿿])|([Ѐ-ӿ])|([A-Za-zÀ-ɏẠ-ỹ])")
+LANGUAGES_OF = {w: tuple(k for k, known in WORDS.items() if w in known) for known in WORDS.values() for w in known}
+SCRIPTS = re.compile(r"([฀-๿]+)|([ऀ-ॿ]+)|([぀-ヿ一-鿿]+)|([Ѐ-ӿ]+)|([A-Za-zÀ-ɏẠ-ỹ]+)")
+LETTER = re.compile("[A-Za-z]")
 CANDIDATE = re.compile(r"[.!?…。！？।॥｡]+(?:\s?»|['”’»」』）)\]])*")
 #: Full-width letters and digits, read as their ordinary forms.
 NARROW = {0xFEE0 + c: c for c in (*range(48, 58), *range(65, 91), *range(97, 123), 46, 44)}
 WIDE = re.compile(r"[Ａ-Ｚａ-ｚ]")
+INNER_END = re.compile(r"[.!?](?:\s?»|[\"”“])?,?\s+\S")
+SPACED_OPEN_END = re.compile(r"[A-Za-zÀ-ɏẠ-ỹА-яё0-9,;%]$")
 UNCASED_OPEN_END = re.compile(r"[぀-ヿ一-鿿，、ऀ-ॿ]$")
 THAI_GAP = re.compile(r"(?<=[฀-๿\d%”\"’)?!.])[^\S\n]+(?=\S)")
 PAIRS = re.compile(r"[„“”«»「」『』（）()\"]")
@@ -164,8 +169,12 @@ LOWER = compiled(r"[a-zß-öø-ÿđạ-ỹа-яё]")
 def language(block: str) -> str:
     """Rule cascade of a block: by its script, in Latin script by function words."""
     n = [0] * 6
-    for m in SCRIPTS.finditer(block[:400]):
-        n[m.lastindex] += 1
+    head = block[:400]
+    if head.isascii():
+        n[5] = bool(LETTER.search(head))
+    else:
+        for m in SCRIPTS.finditer(head):
+            n[m.lastindex] += m.end() - m.start()
     top = max(range(1, 6), key=n.__getitem__)
     if n[top] == 0:
         return ""
@@ -176,13 +185,12 @@ def language(block: str) -> str:
             return "lower"
         if top == 4:
             return "ru"
-        words = block[:600].lower().split()
-        best, count = "", 0
-        for lang, known in WORDS.items():
-            hits = sum(w in known for w in words)
-            if hits > count:
-                best, count = lang, hits
-        return best
+        hits = dict.fromkeys(WORDS, 0)
+        for w in block[:600].lower().split():
+            for lang in LANGUAGES_OF.get(w, ()):
+                hits[lang] += 1
+        best = max(hits, key=hits.__getitem__)
+        return best if hits[best] else ""
     return {1: "th", 2: "hi", 3: "zh"}[top]
 
 
@@ -216,6 +224,12 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
                     continue
                 if follows[0] in "–—" and follows[1:2] == " ":
                     continue
+                words = line.rsplit(None, 1)
+                if words[-1].lower() in LANGUAGES_OF and len(words) > 1:  # no headline ends with such a word
+                    continue
+                running = k or len(line) > WRAP_WIDTH or INNER_END.search(line)
+                if running and not entry and SPACED_OPEN_END.search(line) and len(line) >= WRAP_WIDTH // 3 and LOWER.search(line):
+                    continue
                 if (k or wrapped) and not entry and UNCASED_OPEN_END.search(line) and not LOWER_START.match(follows):
                     continue
             if line[-1] == "," and follows[0].isalnum():

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.session import checkpointed
+
 #: Sites up to which the table of sites is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SITES = 20_000
 
 
+def small_side(of_sites: DataFrame) -> DataFrame:
+    """A relation of one bounded row a site, written once; broadcast if there are at most BROADCAST_SITES of them."""
+    written = checkpointed(of_sites)
+    return F.broadcast(written) if written.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES else written
+
+
 def url_host(url: Column) -> Column:
     """Host of a URL in lower case, without port, user and a leading ``www.`` or ``m.``."""
     host = F.lower(F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#\s]+)", 1))
