@@ -25,7 +25,7 @@ from newsloom.llm.sites import sample_texts
 
 #: Rows sampled to train on, bytes of a dictionary, and the share of the next best size by which the best must beat it.
 SAMPLE_ROWS, DICTIONARY_BYTES, MARGIN = 2500, 60_000, 0.08
-LEVEL = 3
+LEVEL = 1
 #: Characters of a passage that are compressed at a time.
 PART = 600
 #: Excess log odds of a garbled passage from which the content is repaired first; less of it cannot change a language.
@@ -72,7 +72,8 @@ def label_code(label: str | None) -> str | None:
     return NAMED.get(head, head if re.fullmatch(r"[a-z]{2,3}", head) and head not in NOTHING else None)
 
 
-_LETTERS = re.compile(r"[A-Za-z]")
+_LETTERS = re.compile(r"[^A-Za-zÀ-ɏḀ-ỿ]+")
+_OTHER_SCRIPTS = re.compile(r"[Ѐ-ӿऀ-ॿ฀-๿぀-ヿ㐀-䶿一-鿿ｦ-ﾟ]")
 #: Addresses and domain names: in Latin script whatever the language around them.
 ADDRESS = re.compile(r"(?:https?://\S+|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
 
@@ -80,8 +81,8 @@ ADDRESS = re.compile(r"(?:https?://\S+|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
 def script_counts(text: str) -> list[int]:
     """Letters of a text by script, at the places of the groups of SCRIPTS."""
     n = [0] * 7
-    if text.isascii():
-        n[1] = len(_LETTERS.findall(text))
+    if not _OTHER_SCRIPTS.search(text):
+        n[1] = len(_LETTERS.sub("", text))
     else:
         for m in SCRIPTS.finditer(text):
             n[m.lastindex] += m.end() - m.start()
@@ -119,7 +120,7 @@ class Model:
         return found
 
     def _classify(self, text: str) -> tuple[str | None, float]:
-        letters = script_counts(ADDRESS.sub(" ", text) if "." in text else text)
+        letters = script_counts(ADDRESS.sub(" ", text) if "." in text and _OTHER_SCRIPTS.search(text) else text)
         # a character of a script without spaces says as much as some letters
         weighed = [n * (3 if k in (3, 4) else 1) for k, n in enumerate(letters)]
         script = max(range(1, 7), key=weighed.__getitem__)
@@ -194,7 +195,7 @@ def sentence_count(text: str, lang: str | None) -> int:
 
 def pieces(line: str) -> list[str]:
     """The line, or its sentences where it mixes scripts."""
-    if line.isascii():
+    if not _OTHER_SCRIPTS.search(line):
         return [line]
     n = script_counts(line)
     n[3] += n[4]

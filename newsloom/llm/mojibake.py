@@ -148,9 +148,13 @@ class Model:
         return self.weights[:, telling_bigrams(line)].sum(1)
 
     def clean_score(self, line: str) -> tuple[float, int]:
-        """Log probability as clean text of the best language, and the number of bigrams that count."""
+        """Log probability as clean text of the best language, and how many of the bigrams that language has not shown."""
         idx = telling_bigrams(line)
-        return float(self.clean[:, idx].sum(1).max()) if len(self.clean) else 0.0, len(idx)
+        if not len(self.clean):
+            return 0.0, 0
+        rows = self.clean[:, idx]
+        best = int(rows.sum(1).argmax())
+        return float(rows[best].sum()), int((rows[best] <= self.clean[best].min() + 1e-6).sum())
 
     def passage(self, line: str) -> tuple[str, float]:
         """The passage of a line with the largest summed log odds, and that sum."""
@@ -239,31 +243,29 @@ def restore_line(line: str, model: Model) -> tuple[str, tuple[str, str, int] | N
     if margin <= 0 and not SWAPPED.search(line):
         return line, None, margin
     margin = min(margin, excess)
-    before, n_before = model.clean_score(line)
+    before, strange = model.clean_score(line)
     tried = set()
     top = float(scores[is_garbled].max())
-    best: tuple[float, str, tuple[str, str, int]] | None = None
     for k in np.argsort(-scores):
         chain = model.classes[k]
         if chain is None or chain in tried:
             continue
+        if len(tried) >= 6 and scores[k] < top - HOPELESS:
+            break
         tried.add(chain)
         options = [invert(line, chain)]
         if options[0] is None or options[0] == line:
             options = [NON_ASCII.sub(lambda m, chain=chain: invert(m[0], chain) or m[0], line)]
             if chain[0] == "utf-8":
                 options.append(re.sub(r"[^\x00-\x7f]+", lambda m, chain=chain: invert(m[0], chain) or m[0], line))
-        for after_text in options:
-            if after_text is None or after_text == line or re.search(r"[\x80-\x9f]", after_text):
+        for restored in options:
+            if restored is None or restored == line or re.search(r"[\x80-\x9f]", restored):
                 continue
-            after, n = model.clean_score(after_text)
-            gain = after - before
-            mean = after / max(n, 1)
-            if gain > 6.0 and mean > before / max(n_before, 1) and (best is None or mean > best[0]):
-                best = mean, after_text, chain
-        if len(tried) >= 6 and (best is not None or scores[k] < top - HOPELESS):
-            break
-    return (best[1], best[2], margin) if best else (line, None, margin)
+            after, still_strange = model.clean_score(restored)
+            # the restored text has to be likelier, and made of what clean text shows
+            if after - before > 6.0 and still_strange <= strange // 2:
+                return restored, chain, margin
+    return line, None, margin
 
 
 def examine(text: str, model: Model) -> tuple[bool, str]:
