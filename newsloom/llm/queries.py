@@ -71,5 +71,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 
+_SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_P6_SQL = rf"""
+WITH pages AS (SELECT article_id, url, regexp_replace(lower(regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#\s]+)', 1)), '^(www|m)\.', '') AS host, content FROM articles WHERE content <> ''),
+ split AS (SELECT article_id, url, host, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM pages WHERE host <> ''),
+ lines AS (SELECT article_id, url, host, line_no, regexp_replace(regexp_replace(lower(regexp_replace(line, '[0-9]', '', 'g')), '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g') AS line FROM split),
+ totals AS (SELECT host, count(DISTINCT url) AS all_urls FROM pages GROUP BY host),
+ often AS (SELECT host, line FROM lines JOIN totals USING (host) WHERE line <> '' GROUP BY host, line, all_urls HAVING count(DISTINCT url) >= 3 AND count(DISTINCT url) >= 0.1 * all_urls)
+SELECT article_id, line_no FROM lines JOIN often USING (host, line)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The one of these queries that SQL can state: lines repeated within a site."""
+    return {"p6_found": _P6_SQL}
