@@ -219,10 +219,10 @@ def likely_topic(c: Column) -> Column:
     return (F.size(c["path_segments"]) == 1) & F.coalesce(c["prefix_pattern"].isin(TOPIC_PREFIXES), F.lit(False))
 
 
-def confident_detail(url: Column, c: Column | None = None) -> Column:
-    """Is the URL with high confidence that of a story?  ``c``: its components, if they are at hand."""
+def confident_detail(url: Column, c: Column | None = None, kind: Column | None = None) -> Column:
+    """Is the URL with high confidence that of a story?  ``c``, ``kind``: its components and class, if they are at hand."""
     c = url_components(url) if c is None else c
-    kind = classify_url(url)
+    kind = classify_url(url) if kind is None else kind
     s, types = c["path_segments"], c["segment_types"]
     telling = F.arrays_zip(s.alias("s"), types.alias("t"))
     feature = F.exists(

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.urls import confident_detail, url_components
+from newsloom.functions.urls import classify_url, confident_detail, path, segments, url_components
+from newsloom.session import checkpointed
 
 #: Least size of a cluster, as a number and as a share of the main one; similarity from which small clusters follow.
 LEAST_SIZE, LEAST_SHARE, SIMILAR = 3, 0.1, 0.7
@@ -33,15 +34,16 @@ def templates_similar(t1: Column, t2: Column, threshold: float = SIMILAR) -> Col
 
 
 def with_structure(urls: DataFrame, url: str = "url") -> DataFrame:
-    c = url_components(F.col(url))
-    return urls.withColumn("c", c).select("*", template(F.col("c")).alias("template"), F.size("c.path_segments").alias("depth"), F.col("c.has_date_segment").alias("has_date")).withColumn(
-        "confident", confident_detail(F.col(url), F.col("c"))
-    )
+    """URLs with their template, depth, has_date and whether they are stories with confidence."""
+    parsed = urls.withColumn("_c", url_components(F.col(url))).withColumn("_kind", classify_url(F.col(url)))
+    return parsed.select(
+        *urls.columns, template(F.col("_c")).alias("template"), F.size("_c.path_segments").alias("depth"), F.col("_c.has_date_segment").alias("has_date"),
+        confident_detail(F.col(url), F.col("_c"), F.col("_kind")).alias("confident"),
+    )
 
 
-def structure_clusters(urls: DataFrame, group: list[str], url: str = "url") -> DataFrame:
-    """Clusters of each group: (group, template, depth, has_date, size, kept)."""
-    shaped = with_structure(urls.select(*group, url).distinct(), url)
+def clusters_of(shaped: DataFrame, group: list[str]) -> DataFrame:
+    """Clusters of URLs with structure: (group, template, depth, has_date, size, kept)."""
     clusters = shaped.groupBy(*group, "template", "depth", "has_date").agg(F.count("*").alias("size"), F.bool_or("confident").alias("confident"))
     of_group = Window.partitionBy(*group)
     clusters = clusters.select("*", F.max("size").over(of_group).alias("main"), F.sum("size").over(of_group).alias("total")).withColumn(
@@ -56,34 +58,38 @@ def structure_clusters(urls: DataFrame, group: list[str], url: str = "url") -> D
     )
 
 
-def main_structure_urls(urls: DataFrame, group: list[str], url: str = "url") -> DataFrame:
-    """The URLs (group, url) whose cluster is kept: a semi join on the template."""
-    shaped = with_structure(urls.select(*group, url).distinct(), url)
-    kept = structure_clusters(urls, group, url).filter("kept").select(*group, "template", "depth", "has_date")
+def kept_urls(shaped: DataFrame, group: list[str], url: str = "url") -> DataFrame:
+    """(group, url) whose cluster is kept: a semi join on the template."""
+    kept = clusters_of(shaped, group).filter("kept").select(*group, "template", "depth", "has_date")
     return shaped.join(kept, [*group, "template", "depth", "has_date"], "left_semi").select(*group, url)
 
 
+def structure_clusters(urls: DataFrame, group: list[str], url: str = "url") -> DataFrame:
+    """Clusters of each group's distinct URLs: (group, template, depth, has_date, size, kept)."""
+    return clusters_of(with_structure(urls.select(*group, url).distinct(), url), group)
+
+
+def main_structure_urls(urls: DataFrame, group: list[str], url: str = "url") -> DataFrame:
+    """The distinct URLs (group, url) of the main structures of each group."""
+    return kept_urls(with_structure(urls.select(*group, url).distinct(), url), group, url)
+
+
 def anchor_urls(urls: DataFrame, group: list[str], url: str = "url") -> DataFrame:
     """URLs that are stories with confidence, within the main structures if enough of them are.
 
     Fewer than two confident URLs: all are clustered instead.  Fewer than two left by clustering:
-    the confident ones stand.
+    the confident ones stand.  The parsed URLs are written once, since every branch reads them.
     """
-    distinct = urls.select(*group, url).distinct().withColumn("sure", confident_detail(F.col(url)))
-    of_group = Window.partitionBy(*group)
-    counted = distinct.withColumn("n_sure", F.count_if("sure").over(of_group))
-    sure = counted.filter("n_sure >= 2 and sure").select(*group, url)
-    unsure = counted.filter("n_sure < 2").select(*group, url)
-    clustered = main_structure_urls(sure, group, url)
+    shaped = with_structure(urls.select(*group, url).distinct(), url)
+    counted = checkpointed(shaped.withColumn("n_sure", F.count_if("confident").over(Window.partitionBy(*group))))
+    sure, unsure = counted.filter("n_sure >= 2 and confident"), counted.filter("n_sure < 2")
+    clustered = kept_urls(sure, group, url)
     enough = clustered.groupBy(*group).agg(F.count("*").alias("n")).filter("n >= 2").select(*group)
-    return (
-        clustered.join(enough, group, "left_semi").unionByName(sure.join(enough, group, "left_anti")).unionByName(main_structure_urls(unsure, group, url))
-    )
+    stand = sure.select(*group, url).join(enough, group, "left_anti")
+    return clustered.join(enough, group, "left_semi").unionByName(stand).unionByName(kept_urls(unsure, group, url))
 
 
 def learned_static(urls: DataFrame, group: list[str], url: str = "url") -> DataFrame:
     """(group, learned): path segments that occur at least twice in a group's sample URLs."""
-    from newsloom.functions.urls import path, segments
-
     each = urls.select(*group, F.explode(segments(path(F.col(url)))).alias("segment"))
     return each.groupBy(*group, "segment").agg(F.count("*").alias("n")).filter("n >= 2").groupBy(*group).agg(F.collect_set("segment").alias("learned"))
