@@ -80,11 +80,12 @@ COMPACT = re.compile(r"(?<!\d)(\d{4})(\d{2})(\d{2})(?:t?(\d{2})(\d{2})(\d{2})?(?
 THREE_PARTS = re.compile(r"(?<!\d)(\d{1,2})([-/.])\s?(\d{1,2})\2\s?(\d{4}|\d{2})(?![\d:])")
 TWO_PARTS = re.compile(r"(?<![\d:])(\d{1,2})([-/.])(\d{1,2})(?![\d:])\.?")
 DAY_MONTH = re.compile(r"(?<!\d)(\d{1,2})(?:\.|er|º|ª|st|nd|rd|th)?\s?(?:de\s|of\s)?(" + _names + r")\.?,?\s?(?:de\s|del\s)?(\d{4}|(?<=\s)\d{2}(?![\d:h]))?(?!\d)")
-MONTH_DAY = re.compile(r"(?<!\w)(" + _names + r")\.?\s?(\d{1,2})(?:st|nd|rd|th)?(?![\d:])(?:,?\s?(\d{4}))?(?!\d)")
+MONTH_DAY = re.compile(r"(?<![a-zà-öø-ÿа-яё])(" + _names + r")\.?\s?(\d{1,2})(?:st|nd|rd|th)?(?![\d:])(?:,?\s?(\d{4}))?(?!\d)")
 THANG = re.compile(r"(?<!\d)(\d{1,2})\s?tháng\s?(\d{1,2})(?:\s?(?:,|năm|/)?\s?(\d{4}))?(?!\d)")
 LABEL = re.compile(r"^[^\d:]{1,40}:\s*(?=\S)")
 CLOCK = re.compile(r"(?<!\d)(\d{1,2})\s?(?::|h|時|时|点|點)\s?(?:(\d{2}|(?<=[時时点點])\d)(?!\d))?(?:\s?[:分]\s?(\d{2})(?!\d))?(?:[.,]\d+)?\s?[分秒]?")
-HALF = re.compile(r"(?<![a-z])([ap])\.?\s?m\.?(?![a-z])|" + "|".join(w for w in HALVES if w not in ("am", "pm")))
+HALF = re.compile(r"\s*([ap])\.?\s?m\.?(?![a-z])")  # right after the clock
+HALF_WORD = re.compile("|".join(w for w in HALVES if w not in ("am", "pm")))
 OFFSET = re.compile(r"\(?\s?(?:(utc|gmt)\s?([+-])\s?(\d{1,2})(?::?(\d{2}))?|([+-])(\d{2}):?(\d{2}))\s?\)?")
 WORD = re.compile(r"[^\W\d_]{2,5}")
 RELATIVE = re.compile(r"(\d+)\s?([^\W\d_]+[̀-ͯऀ-ॿ฀-๿]*)")
@@ -209,14 +210,14 @@ def read(text: str | None, tz: str, lang: str | None, crawl: int) -> dict[str, i
         if m := CLOCK.search(rest):
             clock = int(m[1]), int(m[2] or 0), int(m[3] or 0)
             tail = rest[m.end() :]
-            if half := HALF.search(rest):
+            if half := HALF.match(tail) or HALF_WORD.search(rest):
                 if not 1 <= clock[0] <= 12:
                     if clock[0] > 23:
                         return None
                 else:
-                    add = (0 if half[1] == "a" else 12) if half[1] else HALVES[half[0]]
+                    add = (0 if half[1] == "a" else 12) if half.re is HALF else HALVES[half[0]]
                     clock = clock[0] % 12 + add, clock[1], clock[2]
-                tail = HALF.sub(" ", tail)
+                tail = HALF.sub(" ", tail, count=1)
         else:
             tail = rest if dates else ""
             if not dates and day is None:

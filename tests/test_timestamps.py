@@ -46,6 +46,9 @@ CRAWL = utc(2023, 6, 15, 12, 0)
         ("TBA", "UTC", "en", None),
         ("", "UTC", "en", None),
         (None, "UTC", "en", None),
+        ("Veröffentlicht am 2023-01-23 12:15:23", "UTC", "de", utc(2023, 1, 23, 12, 15, 23)),
+        ("更新于February 23, 2023 9:06 PM CST", "Asia/Shanghai", "zh", utc(2023, 2, 23, 13, 6)),
+        ("12:05 AM, 3 June 2023", "UTC", "en", utc(2023, 6, 3, 0, 5)),
         ("just now", "UTC", "en", CRAWL),
         ("1673653057", "UTC", "en", 1673653057),
         ("Dec 24, 10:00 p.m.", "UTC", "en", utc(2022, 12, 24, 22)),
