@@ -21,6 +21,8 @@ DROPPED = frozenset("script style noscript iframe template".split())
 #: An open element of the first kind ends where one of the second begins, up to its list or table.
 ENDS = {"li": ("li",), "p": ("p", "div", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "li", "header", "footer", "nav", "main", "aside", "blockquote", "form"), "a": ("a",), "td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "tr": ("tr",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 SCOPES = frozenset("ul ol table div section article main body html nav header footer aside select dl".split())
+#: Depth below which elements are kept as siblings.
+MAX_DEPTH = 200
 _SPACES = re.compile(r"\s+")
 
 
@@ -58,6 +60,9 @@ class TreeBuilder(HTMLParser):
                 break
             if t in SCOPES:
                 break
+        if not self.nodes and tag != "html":  # a fragment gets a root
+            self.nodes.append(Node(0, -1, 1, 0, "html", {}))
+            self.open.append(self.nodes[0])
         parent = self.open[-1] if self.open else None
         if parent is None and self.nodes:
             parent = self.nodes[0]  # one root: what follows it belongs to it
@@ -68,7 +73,7 @@ class TreeBuilder(HTMLParser):
         self.nodes.append(node)
         if parent:
             parent.children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and node.depth < MAX_DEPTH:
             self.open.append(node)
 
     def handle_endtag(self, tag: str) -> None:

@@ -124,8 +124,15 @@ def test_zones_equal_a_tree_walk(spark):
 
 def test_lenient_tree():
     tree = parse("<ul><li>one<li>two<script>var x='<p>'</script> tail</ul><p>a<p>b<a href=x>l<a href=y>m</a>")
-    assert [n.tag for n in tree] == ["ul", "li", "li", "p", "p", "a", "a"]
-    assert content(tree[2]) == "two tail" and path(tree, tree[2]) == [0, 2]
+    assert [n.tag for n in tree] == ["html", "ul", "li", "li", "p", "p", "a", "a"]
+    assert content(tree[3]) == "two tail" and path(tree, tree[3]) == [0, 1, 3]
+
+
+def test_very_deep_and_very_long_pages():
+    deep = "<div>" * 5000 + "<p>" + "text " * 30 + "</p>" + "<a href='/news/12345'>A title that is long enough</a>"
+    assert max(n.depth for n in parse(deep)) <= 200
+    assert parse_article(deep)["success"] and listing.extract(deep, "https://a.example/") in ([], [("A title that is long enough", "https://a.example/news/12345", None)])
+    assert len(parse_article("<p>some text here</p>" * 20_000)["content"].split("\n")) == 20_000
 
 
 def test_article():
