@@ -201,11 +201,12 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
         lines.append((at, at + len(line), line.strip()))
         at += len(line) + 1
     ends = continued = 0
+    cased = bool(UPPER.search(text))
     for k, ((_, _, a), (_, _, b)) in enumerate(zip(lines, lines[1:], strict=False)):
         if a and b and len(a) <= WRAP_WIDTH and not BULLET.match(b):
             ends += 1
             if not LINE_END.search(a):
-                latin = LOWER_START.match(b) and UPPER.search(text) and (LOWER.search(a) and a[-1] != ":")
+                latin = LOWER_START.match(b) and cased and (LOWER.search(a) and a[-1] != ":")
                 cjk = k and UNCASED_OPEN_END.search(a) and not BULLET.match(a) and not LOWER_START.match(b)
                 continued += bool(latin or cjk)
     wrapped = continued and continued * 8 >= ends
@@ -280,12 +281,14 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             marks.add(i)
         if kind == "th":
             marks.update(m.start() for m in THAI_GAP.finditer(block))
-        begin = 0
+        begin = near = 0
         for i in sorted(marks):
             if i >= len(block):
                 continue
             inside = closed = None
-            for a, b in spans:
+            while near < len(spans) and spans[near][1] < i - 3:
+                near += 1
+            for a, b in spans[near : near + 4]:
                 if a < i <= b:
                     inside = True
                     break
