@@ -54,7 +54,12 @@ class TokenAutomaton:
     def __init__(self, tokens: list[bytes], merges: list[tuple[int, int, int]]):
         self.id_of = {t: i for i, t in enumerate(tokens)}
         self.tokens = tokens
-        self.longest = max(map(len, tokens))
+        # lengths of the tokens by their last two bytes, the longest first; one byte is always a token
+        by_end: dict[bytes, set[int]] = {}
+        for t in tokens:
+            if len(t) > 1:
+                by_end.setdefault(t[-2:], {1}).add(len(t))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in by_end.items()}
         n = len(tokens)
         self.left = [-1] * n  # first half of the merge that made the token
         self.born = [-1] * n  # time of that merge
@@ -113,9 +118,12 @@ class TokenAutomaton:
         last, size = [-1] * (n + 1), [0] * (n + 1)
         state = [-1] * (n + 1)
         state[0] = 0
-        get = self.id_of.get
+        get, lengths = self.id_of.get, self.lengths.get
         for end in range(1, n + 1):
-            for begin in range(max(0, end - self.longest), end):
+            for length in lengths(piece[max(0, end - 2) : end], (1,)):
+                begin = end - length
+                if begin < 0:
+                    continue
                 s = state[begin]
                 label = get(piece[begin:end]) if s >= 0 else None
                 if label is not None and self.has_arc(s, label):
