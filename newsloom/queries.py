@@ -62,6 +62,7 @@ def of_pairs(columns: Callable[[], list]) -> Query:
 
 
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of the pages kept as text alone, which is what SQL can state; all pages: ``all_page_links``."""
     return links.scan_links(table(spark, sf, "pages_in").filter(F.col("html").isNotNull()))
 
 
@@ -163,6 +164,11 @@ def decoded(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("page_id", "url", "base_url", "fetched_at", page["text"].alias("html"))
 
 
+def all_page_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of all list pages, those kept as bytes included."""
+    return links.scan_links(decoded(spark, sf))
+
+
 def lit_links(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes of the links whose URL is an anchor of its page: (page_id, node, path)."""
     pages = decoded(spark, sf)
@@ -195,6 +201,7 @@ def queries() -> dict[str, Query]:
     item_ids = lambda spark, sf: table(spark, sf, "news_items")
     return {
         "links_scan": lambda s, d: page_links(s, d).select("page_id", "pos", "href", "url", "text"),
+        "links_scan_decoded": lambda s, d: all_page_links(s, d).select("page_id", "pos", "href", "url", "text"),
         "base_url": of_urls(lambda: [urls.base_url(u()).alias("base_url")]),
         "root_domain": lambda s, d: domains(s, d).select("domain", urls.root_domain(F.col("domain")).alias("root_domain")),
         "domain_name": lambda s, d: domains(s, d).select("domain", urls.domain_name(F.col("domain")).alias("domain_name")),
@@ -250,6 +257,8 @@ def queries() -> dict[str, Query]:
         "neighbour_times": lambda s, d: item_ids(s, d).select("item_id", links.neighbour_value("publish_time", ["page_id"], ["pos", "item_id"]).alias("neighbour")),
         "url_map": lambda s, d: links.url_map(page_links(s, d)),
         "longest_link_text": lambda s, d: links.longest_text_link(page_links(s, d)),
+        "url_map_decoded": lambda s, d: links.url_map(all_page_links(s, d)),
+        "longest_link_text_decoded": lambda s, d: links.longest_text_link(all_page_links(s, d)),
         "score_items": lambda s, d: links.score_items(item_ids(s, d), ["page_id"]).withColumn("score", F.round("score", 6)),
         "merge_lists": merged,
         "item_article_join": enriched,

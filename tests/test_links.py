@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom import queries
 from newsloom.functions.urls import join_url
 from newsloom.operators import links
 
@@ -22,6 +23,17 @@ def test_scan(spark):
     assert {r.url: r.n_links for r in links.url_map(found).filter("page_id = 1").collect()}["https://s.example/a"] == 2
 
 
+def test_pages_kept_as_bytes(spark, tmp_path):
+    html = '<meta charset="{}"><a href="/a">{}</a><a href="/a">{}, подробно</a>'
+    rows = [(1, html.format("utf-8", "Раз", "Два"), None, None), (2, None, html.format("windows-1251", "Новость", "Новость").encode("cp1251"), None), (3, None, "<a href='b'>新闻</a>".encode("gbk"), "text/html; charset=gbk"), (4, None, None, None)]
+    pages = spark.createDataFrame([(i, "https://s.example/", "https://s.example/", "t", *r) for i, *r in rows], "page_id int, url string, base_url string, fetched_at string, html string, body binary, content_type string")
+    pages.write.parquet(str(tmp_path / "pages_in.parquet"))
+    found = {name: queries.queries()[name](spark, str(tmp_path)).collect() for name in ("links_scan_decoded", "url_map_decoded", "longest_link_text_decoded")}
+    assert sorted((r.page_id, r.pos, r.text) for r in found["links_scan_decoded"]) == [(1, 0, "Раз"), (1, 1, "Два, подробно"), (2, 0, "Новость"), (2, 1, "Новость, подробно"), (3, 0, "新闻")]
+    assert sorted((r.page_id, r.url, r.n_links) for r in found["url_map_decoded"]) == [(1, "https://s.example/a", 2), (2, "https://s.example/a", 2), (3, "https://s.example/b", 1)]
+    assert sorted((r.page_id, r.text) for r in found["longest_link_text_decoded"]) == [(1, "Два, подробно"), (2, "Новость, подробно"), (3, "新闻")]
+
+
 @pytest.mark.parametrize("href", ["", "x", "/x", "//h/x", "?q", "#f", "../x", "../../../x", "./x", "x/./y/../z", "..", ".", "/a/../b/.", "x;p", "https://h/", "mailto:a", "x?y=../z", "g;x=1/../y"])
 @pytest.mark.parametrize("base", ["https://s.example/d/e/f?q#g", "https://s.example", "https://s.example/", "http://s.example:8080/d/"])
 def test_join_equals_the_standard_library(spark, base, href):
