@@ -4,7 +4,8 @@ A rule is a pair of regular expressions, one for the text before a position and
 after it, and says whether the position is a boundary.  Positions are tried after every end mark
 with its closing quotes and brackets (and, in Thai, at every space).  The rules of a position come
 from a cascade of tables: those of its language, those of its script, then those that hold for
-all; the first rule that matches decides, and a position that no rule matches is no boundary.
+all; the first rule that matches decides, and a position that no rule matches is no boundary.  A
+block that changes its script, or a long one its language, has a cascade for each part.
 
 Before that, the text is cut into blocks at line breaks that end a headline, a list entry or a
 paragraph; a line break inside a sentence (hard-wrapped text) is ordinary white space.  Positions
@@ -25,6 +26,10 @@ from pyspark.sql import DataFrame
 CONTEXT = 28
 #: Width up to which lines of a text can be hard-wrapped.
 WRAP_WIDTH = 120
+#: Letters (a third of it in dense scripts) of another script that make a part of a block.
+PART = 60
+#: Characters of a stretch in Latin script that is told apart by its function words.
+STRETCH = 300
 
 BREAK, JOIN = True, False
 
@@ -167,13 +172,12 @@ LOWER = compiled(r"[a-zß-öø-ÿđạ-ỹа-яё]")
 
 
 def language(block: str) -> str:
-    """Rule cascade of a block: by its script, in Latin script by function words."""
+    """Rule cascade of a block, or of a part: by its script, in Latin script by function words."""
     n = [0] * 6
-    head = block[:400]
-    if head.isascii():
-        n[5] = bool(LETTER.search(head))
+    if block.isascii():
+        n[5] = bool(LETTER.search(block))
     else:
-        for m in SCRIPTS.finditer(head):
+        for m in SCRIPTS.finditer(block):
             n[m.lastindex] += m.end() - m.start()
     top = max(range(1, 6), key=n.__getitem__)
     if n[top] == 0:
@@ -185,15 +189,66 @@ def language(block: str) -> str:
             return "lower"
         if top == 4:
             return "ru"
-        hits = dict.fromkeys(WORDS, 0)
-        for w in block[:600].lower().split():
-            for lang in LANGUAGES_OF.get(w, ()):
-                hits[lang] += 1
+        hits = function_words(block)
         best = max(hits, key=hits.__getitem__)
         return best if hits[best] else ""
     return {1: "th", 2: "hi", 3: "zh"}[top]
 
 
+def function_words(block: str) -> dict[str, int]:
+    hits = dict.fromkeys(WORDS, 0)
+    for w in block.lower().split():
+        for lang in LANGUAGES_OF.get(w, ()):
+            hits[lang] += 1
+    return hits
+
+
+def script_parts(block: str) -> list[tuple[int, int]]:
+    """Spans of a block by script: the cheapest ones if a letter of another script costs one and a change costs PART."""
+    if block.isascii():
+        return [(0, len(block))]
+    runs = [(m.start(), m.lastindex, (m.end() - m.start()) * (3 if m.lastindex == 3 else 1)) for m in SCRIPTS.finditer(block)]
+    n = [0] * 6
+    for _, script, weight in runs:
+        n[script] += weight
+    if sum(n) - max(n) <= PART:
+        return [(0, len(block))]
+    cost, came = [0] * 6, []
+    for _, script, weight in runs:
+        least = min(range(1, 6), key=cost.__getitem__)
+        came.append([k if cost[k] <= cost[least] + PART else least for k in range(6)])
+        cost = [min(c, cost[least] + PART) + (weight if k != script else 0) for k, c in enumerate(cost)]
+    state, cuts = min(range(1, 6), key=cost.__getitem__), [len(block)]
+    for (start, _, _), of in zip(reversed(runs), reversed(came), strict=True):
+        if of[state] != state:
+            cuts.append(start)
+            state = of[state]
+    cuts = [0, *sorted(c for c in cuts if c)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def cascades(block: str) -> list[tuple[int, int, str]]:
+    """(begin, end, kind): the parts of a block and the rule cascade of each.
+
+    A long part in Latin script is told by function words stretch by stretch; a stretch whose words do
+    not clearly tell another language has that of the whole part.
+    """
+    out = []
+    for a, b in script_parts(block):
+        kind = language(block[a:b])
+        if kind not in WORDS or b - a < 2 * STRETCH:
+            out.append((a, b, kind))
+            continue
+        ends = [m.end() for m in CANDIDATE.finditer(block, a, b)] + [b]
+        for end in ends:
+            if end == b or end - a >= STRETCH and b - end >= STRETCH:
+                hits = function_words(block[a:end])
+                best = max(hits, key=hits.__getitem__)
+                out.append((a, end, best if hits[best] > 2 * hits[kind] else kind))
+                a = end
+    return out
+
+
 def blocks(text: str) -> Iterator[tuple[int, int]]:
     """Spans that no sentence crosses: headlines, list entries, paragraphs."""
     lines, at = [], 0
@@ -268,10 +323,11 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     plain = text.translate(NARROW) if WIDE.search(text) else text
     for first, stop in blocks(plain):
         block = plain[first:stop]
-        kind = language(block)
-        if kind not in ("lower", "zh", "hi", "th", "") and not LOWER.search(block) and len(block.lower()) == len(block):
-            kind, block = "lower", block.lower()
-        table = TABLES[kind]
+        parts = cascades(block)
+        for k, (a, b, kind) in enumerate(parts):
+            part = block[a:b]
+            if kind not in ("lower", "zh", "hi", "th", "") and not LOWER.search(part) and len(part.lower()) == len(part):
+                parts[k], block = (a, b, "lower"), block[:a] + part.lower() + block[b:]
         spans, closing = pairs(block)
         marks = set()
         for m in CANDIDATE.finditer(block):
@@ -279,12 +335,16 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             while i in closing:
                 i += 1
             marks.add(i)
-        if kind == "th":
-            marks.update(m.start() for m in THAI_GAP.finditer(block))
-        begin = near = 0
+        for a, b, kind in parts:
+            if kind == "th":  # a gap before the next part included
+                marks.update(m.start() for m in THAI_GAP.finditer(block, a, b + 1))
+        begin = near = at = 0
         for i in sorted(marks):
             if i >= len(block):
                 continue
+            while parts[at][1] < i:
+                at += 1
+            kind = parts[at][2]
             inside = closed = None
             while near < len(spans) and spans[near][1] < i - 3:
                 near += 1
@@ -313,7 +373,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             if i - begin < 45 and DATELINE.match(block, i):
                 continue
             before = block[max(0, i - CONTEXT, begin) : i]
-            for breaks, x, y in table:
+            for breaks, x, y in TABLES[kind]:
                 if x(before) and y(block, i):
                     if breaks:
                         out.append((first + begin, first + i))

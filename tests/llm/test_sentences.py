@@ -37,6 +37,25 @@ def test_scripts_without_spaces():
     assert cut("บริษัทซาวโตขึ้น333.22%ในปีนี้ “เราพร้อมแล้ว เราจะไม่รออีก”เทียกล่าว หน่วยดับเพลิงอนุมัติ") == ["บริษัทซาวโตขึ้น333.22%ในปีนี้", "“เราพร้อมแล้ว เราจะไม่รออีก”เทียกล่าว", "หน่วยดับเพลิงอนุมัติ"]
 
 
+ENGLISH = "The committee of the harbour said that a new bridge is to open in the spring and that it was paid for by the town."
+GERMAN = "Der Ausschuss der Stadt hat nach der Sitzung erklärt, dass die Brücke im Frühjahr für den Verkehr geöffnet wird."
+THAI = ["บริษัทซาวโตขึ้น333.22%ในปีนี้", "หน่วยดับเพลิงอนุมัติโครงการใหม่ของเมือง", "บริษัทซาวโตประกาศแผนงานใหม่ในปีนี้"]
+
+
+@pytest.mark.parametrize(
+    "parts",
+    [
+        [ENGLISH] * 5 + THAI,
+        THAI * 5 + [ENGLISH, "Mr. Doreck hesitated and then left the hall of the town."],
+        [GERMAN] * 8 + [ENGLISH] * 4 + ["The inquiry was opened by Mr. Doreck on Monday.", ENGLISH],
+        [ENGLISH] * 8 + [GERMAN] * 4 + ["Die Brücke wurde von der Fa. Yathu am 10. Tag geöffnet.", GERMAN],
+        [ENGLISH] * 5 + ["«Хватит задержек!» — крикнул Келгал.", "Дом № 597 на ул. Дорзор, т. е. бывший склад, остаётся открытым.", "Завод на ул. Дорзор вырос в этом году."],
+    ],
+)
+def test_a_block_that_changes_late(parts):
+    assert cut(" ".join(parts)) == parts
+
+
 def test_layout():
     assert cut("A headline without an end\nThe first sentence is here. The second too.\n* an entry\n- another entry\nLast.") == ["A headline without an end", "The first sentence is here.", "The second too.", "* an entry", "- another entry", "Last."]
     assert cut("The museum welcomed a second\nfootbridge in a written\nstatement. It paid.\n\nNext part.") == ["The museum welcomed a second\nfootbridge in a written\nstatement.", "It paid.", "Next part."]
