@@ -4,7 +4,7 @@ Texts count by their letters, marks and digits only, apart from case and width.
 training text gets a suffix array, sorted to the depth of a seed; every suffix of every item is
 searched in it by bisection, which gives the places of all verbatim matches of that depth.  A
 suffix of the shard whose first characters begin no item suffix cannot be found, so it is left out
-before sorting.  Each match is grown over small changes in both directions; a document leaks an
+before sorting.  Every match is grown over small changes in both directions; a document leaks an
 item if it holds at least half of it as one connected passage.
 """
 
@@ -24,8 +24,6 @@ from newsloom.llm.textcodes import chunks, code_points, folding, joined
 WORD = 12
 #: Share of an item that a leak holds, and the longest change (in characters) that a passage bridges.
 SHARE, BRIDGE = 0.5, 20
-#: Share of an item that its verbatim matches in a document cover before they are grown.
-SEED_SHARE = 0.2
 #: Characters of items that are searched at a time.
 ITEM_BLOCK = 2_000_000
 BLOOM = 1 << 22
@@ -182,21 +180,24 @@ def leaks_of(texts: list[str | None], items: ItemSuffixes) -> list[tuple[int, in
     pair_new = np.ones(len(starts), bool)
     pair_new[1:] = (r_row[1:] != r_row[:-1]) | (r_item[1:] != r_item[:-1])
     first = np.flatnonzero(pair_new)
-    covered = np.add.reduceat(run_len, first)
     ends = np.concatenate([first[1:], [len(starts)]])
     out = []
-    for k in np.flatnonzero(covered >= SEED_SHARE * items.lengths[r_item[first]]):
-        i, j = first[k], ends[k]
+    current = None
+    for i, j in zip(first.tolist(), ends.tolist(), strict=True):
         it, rw = int(r_item[i]), int(r_row[i])
         q = items.strings[it]
-        base = int(bounds[rw])
-        t = "".join(map(chr, shard[base : int(bounds[rw + 1]) - 1].tolist()))
+        if rw != current:
+            current, base = rw, int(bounds[rw])
+            t = "".join(map(chr, shard[base : int(bounds[rw + 1]) - 1].tolist()))
+            reverse = t[::-1]
+        if len(t) < SHARE * len(q):
+            continue
         least = 4 if dense(np.array([ord(q[0])]))[0] else 8
         best, reached = 0.0, -1
-        for m in i + np.argsort(-run_len[i:j], kind="stable")[:6]:
+        for m in i + np.argsort(-run_len[i:j], kind="stable"):
             p, d = int(r_begin[m]), int(r_place[m]) - base
             right = grow(q, t, p, d, least)
-            left = grow(q[:p][::-1], t[:d][::-1], 0, 0, least)
+            left = grow(q[:p][::-1], reverse[len(t) - d :], 0, 0, least)
             share = (right[0] + left[0]) / len(q)
             if share > best:
                 best, reached = share, d - left[2]

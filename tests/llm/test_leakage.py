@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from newsloom.llm.leakage import ItemSuffixes, find_leaks, remove_leaking, suffix_matches
+from newsloom.llm.leakage import ItemSuffixes, find_leaks, leaks_of, remove_leaking, suffix_matches
 from newsloom.llm.textcodes import code_points, folding
 
 WORDS = "orchard trust replaced compensation offer without quorum cinema collective footbridge afternoon allotment owners seed archive notice signal workshop school meals tender Thursday talks which following best describes decision harbour council ferry operator measured bridge survey despite heavy rain".split()
@@ -69,3 +69,21 @@ def test_suffix_array_equals_brute_force():
             at = text.find(piece, at + 1)
     assert expected <= found and all(items.strings[items.owner[k]][items.place[k] : items.place[k] + 24] == text[p : p + 24] for k, p in found)
     assert np.all(items.lengths == 60)
+
+
+def test_an_edited_half_beside_repeated_sentences():
+    rng = random.Random(5)
+    name = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    sentence, runs = name(80), [name(30) for _ in range(6)]
+    held = ItemSuffixes([1], [sentence + "".join(runs)])
+    half = "".join(r + name(5) for r in runs)
+    assert [x[:2] for x in leaks_of([name(40).join([sentence] * 8) + name(60) + half], held)] == [(0, 0)]
+    assert not leaks_of([name(40).join([sentence] * 8)], held)
+
+
+def test_a_half_with_a_change_in_every_line_of_words():
+    rng = random.Random(6)
+    name = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    runs = [name(18) for _ in range(20)]
+    seed = name(26)  # the one verbatim match of seed depth, 7 % of the item
+    assert [x[:2] for x in leaks_of([seed + "".join(name(3) + r for r in runs)], ItemSuffixes([1], [seed + "".join("q" + r for r in runs)]))] == [(0, 0)]
