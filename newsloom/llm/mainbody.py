@@ -242,7 +242,7 @@ def line_flags(content: str, html: str, repeated: list[bool], source: str | None
 def prepared(articles: DataFrame, sites: DataFrame) -> DataFrame:
     """(article_id, content, raw_html, repeated array<boolean>, site_source) of articles with content."""
     with_content = articles.filter(F.length("content") > 0).select("article_id", "url", "content", "raw_html")
-    known = with_recurrent(with_site(with_content, sites, ("source", "lang")), articles, sites)
+    known = with_recurrent(with_site(with_content, sites, ("source", "lang")), articles)
     lines = F.transform(F.split("content", "\n"), lambda x: F.coalesce(F.array_contains("recurrent", F.xxhash64(normal_line(x))), F.lit(False)))
     return known.select("article_id", "content", "raw_html", lines.alias("repeated"), "site_source", "site_lang")
 

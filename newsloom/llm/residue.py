@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.sites import BROADCAST_SITES, url_host
+from newsloom.llm.sites import small_side, url_host
 
 #: A line is boilerplate from this many distinct URLs of its host, and this share of them.
 MIN_URLS, MIN_SHARE = 3, 0.1
@@ -146,13 +146,9 @@ def recurrent_lines(articles: DataFrame) -> DataFrame:
     )
 
 
-def with_recurrent(keyed: DataFrame, articles: DataFrame, sites: DataFrame | None) -> DataFrame:
-    """``keyed`` (with site_key) with ``recurrent``; broadcast if the known sites are few: one bounded array a site."""
-    lines = recurrent_lines(articles)
-    small = sites is not None and sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
-    if small:
-        lines = lines.join(F.broadcast(sites.select(F.col("host").alias("site_key")).distinct()), "site_key", "left_semi")
-    return keyed.join(F.broadcast(lines) if small else lines, "site_key", "left")
+def with_recurrent(keyed: DataFrame, articles: DataFrame) -> DataFrame:
+    """``keyed`` (with site_key) with ``recurrent`` of its host; broadcast if such hosts are few: one bounded array a host."""
+    return keyed.join(small_side(recurrent_lines(articles)), "site_key", "left")
 
 
 def residue(items: DataFrame, articles: DataFrame, sites: DataFrame | None = None) -> DataFrame:
@@ -160,13 +156,13 @@ def residue(items: DataFrame, articles: DataFrame, sites: DataFrame | None = Non
 
     Null, empty and blank fields are no cases; texts of any length are examined whole; repeated
     rows give repeated rows; a null URL has no host and nothing is subtracted from its content;
-    an empty table gives an empty result.
+    an empty table gives an empty result.  ``sites`` is not read: lines are counted for every host.
     """
     content = (
         articles.filter(F.length("content") > 0)
         .select(F.lit("article").alias("record_kind"), F.col("article_id").alias("record_id"), F.lit("content").alias("field"), "content", url_host(F.col("url")).alias("site_key"))
     )
-    content = with_recurrent(content, articles, sites)
+    content = with_recurrent(content, articles)
     kept = F.filter(F.split("content", "\n"), lambda x: ~F.array_contains("recurrent", F.xxhash64(normal_line(x))))
     # a page of nothing but recurrent lines is judged as it stands: a site can serve one error page for many URLs
     rest = F.array_join(kept, "\n")

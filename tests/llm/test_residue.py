@@ -22,6 +22,14 @@ def test_evidence(text, field, kind):
     assert evidence(text, field) == kind
 
 
+def test_hosts_that_are_no_sites(spark):
+    articles = [(k, f"https://a.example/{k}", f"Story of {chr(97 + k) * 4} about the bridge\nThe @@city@@ board", None) for k in range(12)]
+    a = spark.createDataFrame(articles, "article_id bigint, url string, content string, error string")
+    i = spark.createDataFrame([], "item_id bigint, title string")
+    for hosts in ([], [("b.example",)], [("a.example",)]):
+        assert residue(i, a, spark.createDataFrame(hosts, "host string")).count() == residue(i, a).count() == 0
+
+
 def test_boilerplate_is_subtracted(spark):
     notice = "Please enable JavaScript for comments"
     articles = [(k, f"https://a.example/{k}", f"Story number {k} about the bridge\n{notice}", None, "?") for k in range(12)]
