@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,11 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a folder of this machine only on a local master where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), f"newsloom-checkpoint-{os.getuid()}")
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines of the cluster share")
+    return "file://" + os.path.join(tempfile.gettempdir(), f"newsloom-checkpoint-{os.getuid()}")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -27,3 +30,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table written in the shared folder: cuts the lineage, and later readers take only the columns they need.
+
+    The table is deleted when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.option("parquet.enable.dictionary", "false").parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
