@@ -10,6 +10,8 @@ chain restores is still reported if characters are lost (U+FFFD) or the odds are
 
 from __future__ import annotations
 
+import codecs
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,8 +29,8 @@ BUCKETS, SAMPLE_ROWS, LANGUAGE_CHARS, GARBLED_CHARS = 8192, 2500, 400_000, 30_00
 #: Excess log odds of a passage from which a field is looked at, and from which a line is garbled
 #: though nothing restores it.
 GATE, CERTAIN = 3.0, 14.0
-#: Log odds by which a chain trails the likeliest one so far that it need not be tried.
-HOPELESS = 80.0
+#: Lines whose restoration a process remembers.
+KNOWN_LINES = 20_000
 
 # Fixed values: (true encoding, wrong encoding, times).
 CHAINS = [
@@ -40,6 +42,8 @@ CHAINS = [
     ("cp874", "latin-1", 1), ("cp874", "cp1252", 1), ("cp874", "utf-8", 1), ("cp1252", "utf-8", 1), ("cp1252", "mac_roman", 1), ("cp1252", "cp437", 1), ("cp1252", "cp1251", 1), ("mac_roman", "cp1252", 1), ("cp850", "cp1252", 1), ("cp1258", "cp1252", 1), ("cp1251", "utf-8", 1), ("koi8-r", "utf-8", 1),
 ]
 
+WRONG = sorted({c[1] for c in CHAINS})
+
 # Letters outside ASCII that clean lines of a language use.
 ALPHABETS = {
     "en": "éèïöüç",
@@ -64,6 +68,8 @@ def single_byte_fix(name: str) -> dict[int, int]:
 
 
 WINDOWS = {n: single_byte_fix(n) for n in ("cp1252", "cp1251", "cp1250", "cp874", "cp1258")}
+#: Bytes of the characters of these code pages and of the control characters.
+BACK = {n: {ord(bytes([b]).decode(n)) if b not in fixed else b: b for b in range(256)} for n, fixed in WINDOWS.items()}
 
 
 def misread(raw: bytes, wrong: str) -> str:
@@ -75,11 +81,8 @@ def misread(raw: bytes, wrong: str) -> str:
 
 def unread(text: str, wrong: str) -> bytes:
     """The bytes that ``misread`` decoded; raises UnicodeEncodeError if there are none."""
-    if wrong in WINDOWS:
-        try:
-            return text.encode(wrong)
-        except UnicodeEncodeError:
-            return b"".join(bytes([ord(c)]) if ord(c) in WINDOWS[wrong] else c.encode(wrong) for c in text)
+    if wrong in BACK:
+        return codecs.charmap_encode(text, "strict", BACK[wrong])[0]
     return text.encode(wrong)
 
 
@@ -125,10 +128,13 @@ def is_clean(line: str, lang: str) -> bool:
         return False
 
 
+def hashed(pair: np.ndarray) -> np.ndarray:
+    return (pair * np.uint32(2654435761)) >> np.uint32(19)
+
+
 def bigrams(raw: np.ndarray) -> np.ndarray:
     """Hashed byte bigrams of an array of bytes."""
-    pair = (raw[:-1].astype(np.uint32) << np.uint32(8)) | raw[1:]
-    return (pair * np.uint32(2654435761)) >> np.uint32(19)
+    return hashed((raw[:-1].astype(np.uint32) << np.uint32(8)) | raw[1:])
 
 
 def telling_bigrams(text: str) -> np.ndarray:
@@ -144,8 +150,42 @@ class Model:
     classes: list[tuple[str, str, int] | None]  # chain of each class; None: clean text of a language
     clean: np.ndarray  # rows of weights that are clean text
 
+    def __post_init__(self):
+        pair = np.arange(1 << 16, dtype=np.uint32)
+        telling = (pair >> 8 > 127) | (pair & 255 > 127)
+        #: log odds of every two bytes; those of two ASCII bytes tell nothing
+        self.pair_odds = np.where(telling, self.odds[hashed(pair)], 0.0).astype(np.float32)
+        self.by_bigram = np.ascontiguousarray(self.weights.T)
+        self.garbled = np.array([c is not None for c in self.classes])
+        self.chains = [c for c in CHAINS if c in self.classes]
+        self.of_chain = [np.array([k for k, c in enumerate(self.classes) if c == chain]) for chain in self.chains]
+
+        self._known: dict[str, tuple] = {}  # lines restored by this process; to know them only saves work
+
+    def __getstate__(self) -> tuple:
+        return self.odds, self.weights, self.classes, self.clean
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
+
+    def restore(self, line: str) -> tuple[str, tuple[str, str, int] | None, float]:
+        """``restore_line``, once for equal lines."""
+        found = self._known.get(line)
+        if found is None:
+            if len(self._known) > KNOWN_LINES:
+                self._known.clear()
+            found = self._known[line] = restore_line(line, self)
+        return found
+
     def line_scores(self, line: str) -> np.ndarray:
-        return self.weights[:, telling_bigrams(line)].sum(1)
+        return self.by_bigram[telling_bigrams(line)].sum(0)
+
+    def sums(self, flat: np.ndarray) -> np.ndarray:
+        """Running sums of the log odds of an array of bytes."""
+        pair = flat[:-1].astype(np.uint16)
+        pair <<= np.uint16(8)
+        pair |= flat[1:]
+        return np.cumsum(self.pair_odds[pair], dtype=np.float64)
 
     def clean_score(self, line: str) -> tuple[float, int]:
         """Log probability as clean text of the best language, and how many of the bigrams that language has not shown."""
@@ -160,7 +200,7 @@ class Model:
         """The passage of a line with the largest summed log odds, and that sum."""
         raw = f"\n{line}\n".encode("utf-8", "surrogatepass")
         b = np.frombuffer(raw, np.uint8)
-        sums = np.concatenate([[0.0], np.cumsum(np.where((b[:-1] > 127) | (b[1:] > 127), self.odds[bigrams(b)], 0.0), dtype=np.float64)])
+        sums = np.concatenate([[0.0], self.sums(b)])
         low = np.minimum.accumulate(sums)
         end = int(np.argmax(sums - low))
         begin = int(np.argmin(sums[: end + 1]))
@@ -172,10 +212,17 @@ class Model:
         return raw[begin:end].decode("utf-8", "ignore").strip("\n"), float(sums.max() if end == 0 else (sums - low).max())
 
     def excess(self, texts: list[str]) -> np.ndarray:
-        """Largest summed log odds of any passage of each text."""
+        """Largest summed log odds of any passage of each text; none in ASCII alone."""
+        out = np.zeros(len(texts))
+        some = [i for i, t in enumerate(texts) if not t.isascii()]
+        if some:
+            out[some] = self._excess([texts[i] for i in some])
+        return out
+
+    def _excess(self, texts: list[str]) -> np.ndarray:
         raw = [f"\n{t}\n".encode("utf-8", "surrogatepass") for t in texts]
         flat = np.frombuffer(b"".join(raw) + b"\n", np.uint8)
-        sums = np.cumsum(np.where((flat[:-1] > 127) | (flat[1:] > 127), self.odds[bigrams(flat)], 0.0), dtype=np.float64)
+        sums = self.sums(flat)
         lengths = np.array([len(r) for r in raw])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         step = 2 * (np.abs(sums).max() + 1)
@@ -232,40 +279,59 @@ LOST = re.compile("[�\ue000-\uf8ff]")
 NON_ASCII = re.compile(r"[^\x00-\x7f]+(?: [^\x00-\x7f]+)*")
 
 
+@functools.cache
+def repertoire(wrong: str) -> frozenset[str] | None:
+    """Characters outside ASCII that have bytes in an encoding; None: all have."""
+    if wrong in ("utf-8", "gb18030"):
+        return None
+    if wrong in BACK:
+        return frozenset(chr(c) for c in BACK[wrong] if c > 127)
+    every = [chr(k) for k in (*range(128, 0xD800), *range(0xE000, 0x10000))]
+    coded = "\n".join(every).encode(wrong, "ignore").split(b"\n")
+    return frozenset(c for c, b in zip(every, coded, strict=True) if b)
+
+
+def invertible(line: str) -> dict[str, bool]:
+    """Wrong encodings that have all characters of at least one passage outside ASCII, and whether they have those of all
+    passages: no other can be inverted there."""
+    runs = [frozenset(r) for r in re.findall(r"[^\x00-\x7f]+", line)]
+    fits = {w: [known is None or r <= known for r in runs] for w in WRONG for known in [repertoire(w)]}
+    return {w: all(f) for w, f in fits.items() if any(f)}
+
+
 def restore_line(line: str, model: Model) -> tuple[str, tuple[str, str, int] | None, float]:
-    """The restored line, the chain that was inverted (None: nothing was), and the log odds of garbled against clean."""
+    """The restored line, the chain that was inverted (None: nothing was), and the log odds of garbled against clean.
+
+    Every chain that can be inverted is; the one whose text is the likeliest counts.
+    """
     part, excess = model.passage(line)
-    scores = model.line_scores(part)
-    is_garbled = np.array([c is not None for c in model.classes])
-    if not is_garbled.any():
+    if not model.garbled.any():
         return line, None, 0.0
-    margin = float(scores[is_garbled].max() - scores[~is_garbled].max()) if (~is_garbled).any() else 0.0
+    scores = model.line_scores(part)
+    margin = float(scores[model.garbled].max() - scores[~model.garbled].max()) if (~model.garbled).any() else 0.0
     if margin <= 0 and not SWAPPED.search(line):
         return line, None, margin
     margin = min(margin, excess)
     before, strange = model.clean_score(line)
-    tried = set()
-    top = float(scores[is_garbled].max())
-    for k in np.argsort(-scores):
-        chain = model.classes[k]
-        if chain is None or chain in tried:
-            continue
-        if len(tried) >= 6 and scores[k] < top - HOPELESS:
-            break
-        tried.add(chain)
-        options = [invert(line, chain)]
+    seen = {line, None}
+    can = invertible(line)
+    best, fixed = (0.0, line, None), False
+    likely = sorted(((float(scores[of].max()), chain) for chain, of in zip(model.chains, model.of_chain, strict=True) if chain[1] in can), reverse=True)
+    for _, chain in likely:
+        options = [invert(line, chain) if can[chain[1]] else None]
         if options[0] is None or options[0] == line:
             options = [NON_ASCII.sub(lambda m, chain=chain: invert(m[0], chain) or m[0], line)]
             if chain[0] == "utf-8":
                 options.append(re.sub(r"[^\x00-\x7f]+", lambda m, chain=chain: invert(m[0], chain) or m[0], line))
         for restored in options:
-            if restored is None or restored == line or re.search(r"[\x80-\x9f]", restored):
+            if restored in seen or re.search(r"[\x80-\x9f]", restored):
                 continue
+            seen.add(restored)
             after, still_strange = model.clean_score(restored)
             # the restored text has to be likelier, and made of what clean text shows
-            if after - before > 6.0 and still_strange <= strange // 2:
-                return restored, chain, margin
-    return line, None, margin
+            if after - before > 6.0 and still_strange <= strange // 2 and (not fixed or after > best[0]):
+                best, fixed = (after, restored, chain), True
+    return (best[1], best[2], margin) if fixed else (line, None, margin)
 
 
 def examine(text: str, model: Model) -> tuple[bool, str]:
@@ -275,7 +341,7 @@ def examine(text: str, model: Model) -> tuple[bool, str]:
     suspect = model.excess(lines) >= GATE
     for line, look in zip(lines, suspect.tolist(), strict=True):
         if look or LOST.search(line) or SWAPPED.search(line):
-            fixed, chain, margin = restore_line(line, model)
+            fixed, chain, margin = model.restore(line)
             if chain is not None or LOST.search(line) or margin >= CERTAIN:
                 garbled = True
                 line = fixed
