@@ -2,10 +2,15 @@
 
 Texts count by their letters, marks and digits only, apart from case and width.  Each shard of
 training text gets a suffix array, sorted to the depth of a seed; every suffix of every item is
-searched in it by bisection, which gives the places of all verbatim matches of that depth.  A
+searched in it by bisection, which gives the places of all verbatim matches of that depth, and those
+that follow one another on a diagonal are the longest verbatim matches.  A
 suffix of the shard whose first characters begin no item suffix cannot be found, so it is left out
 before sorting.  Every match is grown over small changes in both directions; a document leaks an
 item if it holds at least half of it as one connected passage.
+
+The depth of a seed is 24 characters, 12 in dense scripts, and at most about half of an item: 12 for
+items under 48 characters (dense scripts: 24), 6 for items under 24 (12), and the whole of an item
+under 12 (6), which counts as held only where it stands verbatim.
 """
 
 from __future__ import annotations
@@ -19,8 +24,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.textcodes import chunks, code_points, folding, joined
 
-#: Characters in one machine word of a suffix, five bits each; dense scripts are searched one word
-#: deep, others two.
+#: Characters in one machine word of a suffix, five bits each; a seed is at most two words deep.
 WORD = 12
 #: Share of an item that a leak holds, and the longest change (in characters) that a passage bridges.
 SHARE, BRIDGE = 0.5, 20
@@ -30,7 +34,17 @@ BLOOM = 1 << 22
 
 
 def dense(cp: np.ndarray) -> np.ndarray:
-    return (cp >= 0x3040) & (cp <= 0x9FFF)
+    """Characters that say as much as several letters: kana, ideographs and Korean syllables."""
+    return (cp >= 0x3040) & (cp <= 0x9FFF) | (cp >= 0xAC00) & (cp <= 0xD7AF) | (cp >= 0x1100) & (cp <= 0x11FF) | (cp >= 0xF900) & (cp <= 0xFAFF) | (cp >= 0x20000)
+
+
+def seed_depths(folded: np.ndarray) -> np.ndarray:
+    """Depth of the seed that begins at each character of an item."""
+    length = len(folded)
+    full = np.where(dense(folded), WORD, 2 * WORD)
+    if length < 6 or length < 12 and not dense(folded).any():
+        return np.full(length, length)
+    return np.minimum(full, WORD if length >= 24 else 6) if length < 48 else full
 
 
 def words(folded: np.ndarray) -> np.ndarray:
@@ -57,27 +71,32 @@ class ItemSuffixes:
         parts = [table[code_points(t or "")] for t in texts]
         self.folded = [p[p > 0] for p in parts]
         self.strings = ["".join(map(chr, p.tolist())) for p in self.folded]
+        # characters in a row that have to agree where a match goes on after a change
+        self.least = [4 if 2 * int(dense(p).sum()) >= len(p) else 8 for p in self.folded]
         self.lengths = np.array([len(p) for p in self.folded], np.int64)
         self.owner = np.repeat(np.arange(len(ids)), self.lengths)
-        self.place = np.concatenate([np.arange(n) for n in self.lengths]).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
-        first, second, is_dense, whole = [], [], [], []
-        for p in self.folded:
-            w = words(p)
-            first.append(w)
-            second.append(np.concatenate([w[WORD:], np.zeros(min(WORD, len(w)), np.uint64)]))
-            d = dense(p)
-            is_dense.append(d)
-            left = len(p) - np.arange(len(p))
-            whole.append(left >= np.where(d, WORD, 2 * WORD))
-        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        self.first, self.second = cat(first, np.uint64), cat(second, np.uint64)
-        is_dense, whole = cat(is_dense, bool), cat(whole, bool)
-        self.shallow, self.deep = np.flatnonzero(whole & is_dense), np.flatnonzero(whole & ~is_dense)
-        self.blooms = []
-        for keys in (self.first[self.shallow], self.first[self.deep], self.second[self.deep]):
-            bloom = np.zeros(BLOOM, bool)
-            bloom[bucket(keys)] = True
-            self.blooms.append(bloom)
+        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
+        self.place = cat([np.arange(n) for n in self.lengths], np.int64)
+        self.flat = cat(self.folded, np.uint32)
+        self.first = cat([words(p) for p in self.folded], np.uint64)
+        self.second = cat([np.concatenate([words(p)[WORD:], np.zeros(min(WORD, len(p)), np.uint64)]) for p in self.folded], np.uint64)
+        self.depth = cat([seed_depths(p) for p in self.folded], np.int64)
+        left = self.lengths[self.owner] - self.place
+        #: (depth, suffixes searched to it, which of a shard's words can begin one, and which can follow)
+        self.tiers = []
+        for depth in sorted(set(self.depth.tolist())):
+            which = np.flatnonzero((self.depth == depth) & (left >= depth))
+            begins = np.zeros(BLOOM, bool)
+            begins[bucket(cropped(self.first[which], depth))] = True
+            follows = np.zeros(BLOOM, bool)
+            follows[bucket(self.second[which])] = True
+            self.tiers.append((depth, which, begins, follows))
+        self.deep = next((t[1] for t in self.tiers if t[0] == 2 * WORD), np.zeros(0, np.int64))
+
+
+def cropped(key: np.ndarray, depth: int) -> np.ndarray:
+    """The words of at most ``depth`` characters."""
+    return key >> np.uint64(5 * (WORD - depth)) if depth < WORD else key
 
 
 def grow(q: str, t: str, p: int, d: int, least: int) -> tuple[int, int, int]:
@@ -111,48 +130,52 @@ def grow(q: str, t: str, p: int, d: int, least: int) -> tuple[int, int, int]:
 
 def suffix_matches(shard: np.ndarray, items: ItemSuffixes) -> tuple[np.ndarray, np.ndarray]:
     """(item suffix, place in the shard) of every verbatim match of seed depth."""
-    key = words(shard)
-    slot = bucket(key)
+    whole_key = words(shard)
     found_suffix, found_place = [], []
-    ahead = np.concatenate([slot[WORD:], np.zeros(min(WORD, len(slot)), np.int64)])
-    for deep, which in ((False, items.shallow), (True, items.deep)):
+    for depth, which, begins, follows in items.tiers:
         if not len(which):
             continue
-        can = items.blooms[1][slot] & items.blooms[2][ahead] if deep else items.blooms[0][slot]
+        key = cropped(whole_key, depth)
+        slot = bucket(key)
+        can = begins[slot]
+        if depth > WORD:
+            can &= follows[np.concatenate([slot[WORD:], np.zeros(min(WORD, len(slot)), np.int64)])]
         places = np.flatnonzero(can)
         if not len(places):
             continue
-        one = key[places]
-        if deep:
+        one, sought = key[places], cropped(items.first[which], depth)
+        if depth > WORD:
             two = key[np.minimum(places + WORD, len(key) - 1)]
             heads, rank_one = np.unique(one, return_inverse=True)
             tails, rank_two = np.unique(two, return_inverse=True)
             rank = rank_one * len(tails) + rank_two
-            order = np.argsort(rank, kind="stable")  # the suffix array
-            rank, places = rank[order], places[order]
-            h = np.minimum(np.searchsorted(heads, items.first[which]), len(heads) - 1)
+            h = np.minimum(np.searchsorted(heads, sought), len(heads) - 1)
             t = np.minimum(np.searchsorted(tails, items.second[which]), len(tails) - 1)
-            known = (heads[h] == items.first[which]) & (tails[t] == items.second[which])
-            want = np.where(known, h * len(tails) + t, -1)
-            low, high = np.searchsorted(rank, want, "left"), np.searchsorted(rank, want, "right")
-        else:
-            order = np.argsort(one, kind="stable")
-            one, places = one[order], places[order]
-            low, high = np.searchsorted(one, items.first[which], "left"), np.searchsorted(one, items.first[which], "right")
+            known = (heads[h] == sought) & (tails[t] == items.second[which])
+            one, sought = rank, np.where(known, h * len(tails) + t, -1)
+        order = np.argsort(one, kind="stable")  # the suffix array
+        one, places = one[order], places[order]
+        low, high = np.searchsorted(one, sought, "left"), np.searchsorted(one, sought, "right")
         n = high - low
         hit = np.flatnonzero(n)
         if len(hit):
             n = n[hit]
             at = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            found_suffix.append(np.repeat(which[hit], n))
-            found_place.append(places[at])
+            suffix, place = np.repeat(which[hit], n), places[at]
+            if depth < WORD:  # few characters are as likely by chance in the five bits of each: they have to agree in full
+                same = np.ones(len(suffix), bool)
+                for k in range(depth):
+                    same &= items.flat[suffix + k] == shard[np.minimum(place + k, len(shard) - 1)]
+                suffix, place = suffix[same], place[same]
+            found_suffix.append(suffix)
+            found_place.append(place)
     if not found_suffix:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(found_suffix), np.concatenate(found_place)
 
 
-def leaks_of(texts: list[str | None], items: ItemSuffixes) -> list[tuple[int, int, float, int]]:
-    """(row, item, share held, place of the first match) of every pair that reaches SHARE."""
+def leaks_of(texts: list[str | None], items: ItemSuffixes) -> list[tuple[int, int, float, int, int, int]]:
+    """(row, item, share held, longest verbatim match, begin and end of the passage in the text) of every pair that reaches SHARE."""
     table = folding()
     raw, offsets = joined(texts)
     folded = table[raw]
@@ -160,14 +183,14 @@ def leaks_of(texts: list[str | None], items: ItemSuffixes) -> list[tuple[int, in
     keep[offsets[1:] - 1] = True  # a zero stays between texts
     kept_before = np.concatenate([[0], np.cumsum(keep)])
     bounds = kept_before[offsets]
-    shard = folded[keep]
+    shard, raw_place = folded[keep], np.flatnonzero(keep)
     suffix, place = suffix_matches(shard, items)
     if not len(suffix):
         return []
     row = np.searchsorted(bounds, place, "right") - 1
     item, begin = items.owner[suffix], items.place[suffix]
     diagonal = place - begin
-    depth = np.where(dense(shard[place]), WORD, 2 * WORD)
+    depth = items.depth[suffix]
     order = np.lexsort((begin, diagonal, item, row))
     row, item, begin, diagonal, place, depth = (x[order] for x in (row, item, begin, diagonal, place, depth))
     # maximal runs: neighbouring seeds on one diagonal
@@ -192,28 +215,30 @@ def leaks_of(texts: list[str | None], items: ItemSuffixes) -> list[tuple[int, in
             reverse = t[::-1]
         if len(t) < SHARE * len(q):
             continue
-        least = 4 if dense(np.array([ord(q[0])]))[0] else 8
-        best, reached = 0.0, -1
+        least = items.least[it]
+        best, reached = 0.0, (0, 0)
         for m in i + np.argsort(-run_len[i:j], kind="stable"):
             p, d = int(r_begin[m]), int(r_place[m]) - base
             right = grow(q, t, p, d, least)
             left = grow(q[:p][::-1], reverse[len(t) - d :], 0, 0, least)
             share = (right[0] + left[0]) / len(q)
             if share > best:
-                best, reached = share, d - left[2]
+                best, reached = share, (d - left[2], right[2])
         if best >= SHARE:
-            out.append((rw, it, best, reached))
+            begin_raw, end_raw = (int(raw_place[base + reached[0]]), int(raw_place[base + reached[1] - 1]) + 1) if reached[1] > reached[0] else (0, 0)
+            out.append((rw, it, best, int(run_len[i:j].max()), begin_raw - int(offsets[rw]), end_raw - int(offsets[rw])))
     return out
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``(doc_id, item_id, share)`` of every document that holds at least half of an item.
+    """``(doc_id, item_id, share, matched, start_char, end_char)`` of every document that holds at least half of an item:
+    the share held, the characters of the longest verbatim match, and where in the text the passage stands.
 
     One narrow pass over the documents for each block of items; items are the stated query set and
     are shipped in blocks of ITEM_BLOCK characters, so what a task holds is bounded.  Null and
-    empty texts leak nothing; items without letters or digits leak nowhere; an item shorter than
-    a seed is not searched; repeated documents and items give repeated rows; a text of any length
-    is searched whole.
+    empty texts leak nothing; items without letters or digits leak nowhere; an item of under 12
+    characters (6 in dense scripts) leaks where it stands whole; repeated documents and items give
+    repeated rows; a text of any length is searched whole.
     """
     kinds = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     known = items.select(F.col(item_id), F.col(item_text)).filter(F.col(item_text).isNotNull())
@@ -232,10 +257,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                 for begin, end in chunks(column):
                     found = leaks_of(column[begin:end], suffixes)
                     who = batch.column(0).take(pa.array([begin + f[0] for f in found], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([who, pa.array([ids[f[1]] for f in found], docs_item_type), pa.array([f[2] for f in found], pa.float64())], [doc_id, "item_id", "share"])
+                    places = [pa.array([f[k] for f in found], pa.int64()) for k in (3, 4, 5)]
+                    yield pa.RecordBatch.from_arrays([who, pa.array([ids[f[1]] for f in found], docs_item_type), pa.array([f[2] for f in found], pa.float64()), *places], [doc_id, "item_id", "share", "matched", "start_char", "end_char"])
 
         docs_item_type = pa.int64() if kinds[1] == "bigint" else pa.string()
-        found = docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kinds[0]}, item_id {kinds[1]}, share double")
+        found = docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kinds[0]}, item_id {kinds[1]}, share double, matched bigint, start_char bigint, end_char bigint")
         result = found if result is None else result.unionByName(found)
     return result
 

@@ -87,3 +87,21 @@ def test_a_half_with_a_change_in_every_line_of_words():
     runs = [name(18) for _ in range(20)]
     seed = name(26)  # the one verbatim match of seed depth, 7 % of the item
     assert [x[:2] for x in leaks_of([seed + "".join(name(3) + r for r in runs)], ItemSuffixes([1], [seed + "".join("q" + r for r in runs)]))] == [(0, 0)]
+
+
+def test_short_items():
+    held = ItemSuffixes([1, 2, 3, 4], ["What is the capital city?", "한국의 수도는 어느 도시입니까", "Oslo?", "Which of these rivers is longer?"])
+    docs = ["Quiz: what is the CAPITAL city - answers below", "문제: 한국의 수도는 어느 도시입니까? 답", "They live in Oslo", "A capital", "which of these rivers", "rivers", "어느 도시"]
+    assert sorted(x[:2] for x in leaks_of(docs, held)) == [(0, 0), (1, 1), (2, 2), (4, 3)]
+
+
+def test_places_and_longest_match():
+    rng = random.Random(8)
+    item = sentence(rng, 30)
+    text = f"{sentence(rng, 12)}. — «{item.upper()}»! {sentence(rng, 9)}"
+    [(row, which, share, matched, begin, end)] = leaks_of([None, text], ItemSuffixes([7], [item]))
+    assert (row, which, share) == (1, 0, 1.0) and matched == sum(c.isalnum() for c in item) and text[begin:end] == item.upper()
+    changed = item.split(" ")
+    changed[10] = "Zebra"
+    [(_, _, share, matched, begin, end)] = leaks_of([" ".join(changed)], ItemSuffixes([7], [item]))
+    assert 0.9 < share < 1 and matched < sum(c.isalnum() for c in item) and (begin, end) == (0, len(" ".join(changed)))
