@@ -163,6 +163,7 @@ UNCASED_OPEN_END = re.compile(r"[぀-ヿ一-鿿，、ऀ-ॿ]$")
 THAI_GAP = re.compile(r"(?<=[฀-๿\d%”\"’)?!.])[^\S\n]+(?=\S)")
 PAIRS = re.compile(r"[„“”«»「」『』（）()\"]")
 CLOSERS = {"„": "“”", "“": "”", "«": "»", "「": "」", "『": "』", "（": "）)", "(": ")）", "\"": "\""}
+OPENERS = {c: [o for o in CLOSERS if c in CLOSERS[o]] for closers in CLOSERS.values() for c in closers}
 BULLET = re.compile(r"[-*•·▪◦‣]\s|\d{1,3}[.)]\s")
 DATELINE = re.compile(r"\s*[—–]\s")
 LINE_END = re.compile(r"[.!?…。！？।॥]['\"”’“»」』）)\]]*$")
@@ -295,23 +296,28 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
 
 
 def pairs(block: str) -> tuple[list[tuple[int, int]], set[int]]:
-    """Spans of quotations and brackets, outermost only; places of all closing marks."""
-    out: list[tuple[int, int]] = []
+    """Spans of quotations and brackets, outermost only; places of all closing marks.  An opening mark that nothing closes has no span."""
+    found: list[tuple[int, int]] = []
     closing: set[int] = set()
     stack: list[tuple[int, str]] = []
+    waiting = dict.fromkeys(CLOSERS, 0)
     for m in PAIRS.finditer(block):
         c, i = m[0], m.start()
-        match = next((k for k in range(len(stack) - 1, -1, -1) if c in CLOSERS[stack[k][1]]), None)
-        if match is not None:
-            opened = stack[match][0]
+        if any(waiting[o] for o in OPENERS.get(c, ())):
+            while True:  # what was opened since is never closed
+                opened, by = stack.pop()
+                waiting[by] -= 1
+                if c in CLOSERS[by]:
+                    break
+            found.append((opened, i))
             closing.add(i)
-            del stack[match:]
-            if match == 0:
-                out.append((opened, i))
         elif c in CLOSERS:
-            if stack and i - stack[0][0] > 600:
-                stack.clear()  # an opening mark that nothing closes
             stack.append((i, c))
+            waiting[c] += 1
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if not out or a > out[-1][1]:
+            out.append((a, b))
     return out, closing
 
 
@@ -348,11 +354,14 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             inside = closed = None
             while near < len(spans) and spans[near][1] < i - 3:
                 near += 1
-            for a, b in spans[near : near + 4]:
-                if a < i <= b:
+            for k in range(near, len(spans)):
+                a, b = spans[k]
+                if a >= i:
+                    break
+                if i <= b:
                     inside = True
                     break
-                if b < i and i - b <= 3 and not block[b + 1 : i].strip(" .!?…。！？।"):
+                if i - b <= 3 and not block[b + 1 : i].strip(" .!?…。！？।"):
                     closed = (a, b)
             if inside:
                 continue

@@ -78,3 +78,14 @@ def test_table_cases(spark):
     found = sorted(tuple(r) for r in split_sentences(df).collect())
     assert found == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9)]
     assert split_sentences(df.limit(0)).count() == 0
+
+
+def test_quotations_of_any_length():
+    quoted = "“" + " ".join(f"Line {k} of the letter was read." for k in range(40)) + "”"
+    text = f"He read it out: {quoted} Then he left."
+    assert [text[a:b] for a, b in sentences(text)] == [f"He read it out: {quoted}", "Then he left."]
+    # an opening mark that nothing closes holds nothing together, however near or far the next pair is
+    for n in (3, 60):
+        text = "He said “wait. " + "It rained. " * n + "She said “Go. Now.” and left."
+        assert [text[a:b] for a, b in sentences(text)][-1] == "She said “Go. Now.” and left."
+    assert len(sentences("„" * 50_000 + "）" * 50_000)) == 1
