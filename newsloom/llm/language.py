@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from newsloom.llm import mojibake
 from newsloom.llm.mainbody import line_flags, prepared
 from newsloom.llm.residue import evidence
+from newsloom.llm.sitelines import host_lines, repeated_flags
 from newsloom.llm.sites import sample_texts
 
 #: Rows sampled to train on, bytes of a dictionary, and the share of the next best size by which the best must beat it.
@@ -285,8 +286,9 @@ def document_languages(articles: DataFrame, sites: DataFrame, model: Model, repa
         model, repair = shared.value
         for batch in batches:
             rows, langs, sure, main = [], [], [], []
-            columns = [batch.column(i).to_pylist() for i in range(1, 6)]
-            for i, (content, html, repeated, source, site_lang) in enumerate(zip(*columns, strict=True)):
+            columns = [batch.column("content").to_pylist(), batch.column("raw_html").to_pylist(), host_lines(batch.column("site_key"), batch.column("recurrent")), batch.column("site_source").to_pylist(), batch.column("site_lang").to_pylist()]
+            for i, (content, html, recurrent, source, site_lang) in enumerate(zip(*columns, strict=True)):
+                repeated = repeated_flags(content.split("\n"), recurrent)
                 if evidence("\n".join(t for t, r in zip(content.split("\n"), repeated, strict=True) if not r), "content"):
                     continue
                 for k, (lang, confidence) in enumerate(article_languages(content, html, repeated, source, site_lang, model, repair)):
@@ -296,7 +298,7 @@ def document_languages(articles: DataFrame, sites: DataFrame, model: Model, repa
                     main.append(k == 0)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(main, pa.bool_())], ["article_id", "lang", "confidence", "is_main"])
 
-    ready = prepared(articles, sites).select("article_id", "content", "raw_html", "repeated", "site_source", "site_lang")
+    ready = prepared(articles, sites)
     return ready.mapInArrow(run, f"article_id {kind}, lang string, confidence double, is_main boolean")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.residue import normal_line, with_recurrent
+from newsloom.llm.sitelines import host_lines, repeated_flags, with_recurrent
 from newsloom.llm.sites import with_site
 
 #: Width of the Gaussian in lines, and the share of a line's characters in links that makes it navigation.
@@ -28,7 +28,6 @@ SIGMA, LINKED = 1.5, 0.5
 
 BLOCKS = frozenset("html body p div section article main header footer nav aside ul ol li dl dt dd table tbody thead tr td th h1 h2 h3 h4 h5 h6 blockquote figure figcaption form fieldset pre hr br button center address details summary".split())
 CONTAINERS = frozenset("body div section article main header footer nav aside table tr td th form fieldset details figure center".split())
-FURNITURE = frozenset("header footer nav aside form button".split())
 SKIPPED = frozenset("script style noscript template iframe head svg".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -240,11 +239,10 @@ def line_flags(content: str, html: str, repeated: list[bool], source: str | None
 
 
 def prepared(articles: DataFrame, sites: DataFrame) -> DataFrame:
-    """(article_id, content, raw_html, repeated array<boolean>, site_source) of articles with content."""
+    """(article_id, content, raw_html, site_key, recurrent, site_source, site_lang) of articles with content."""
     with_content = articles.filter(F.length("content") > 0).select("article_id", "url", "content", "raw_html")
     known = with_recurrent(with_site(with_content, sites, ("source", "lang")), articles)
-    lines = F.transform(F.split("content", "\n"), lambda x: F.coalesce(F.array_contains("recurrent", F.xxhash64(normal_line(x))), F.lit(False)))
-    return known.select("article_id", "content", "raw_html", lines.alias("repeated"), "site_source", "site_lang")
+    return known.select("article_id", "content", "raw_html", "site_key", "recurrent", "site_source", "site_lang")
 
 
 def foreign_lines(articles: DataFrame, sites: DataFrame) -> DataFrame:
@@ -259,13 +257,13 @@ def foreign_lines(articles: DataFrame, sites: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, numbers = [], []
-            columns = [batch.column(i).to_pylist() for i in range(1, 5)]
-            for i, (content, html, repeated, source) in enumerate(zip(*columns, strict=True)):
-                flags = line_flags(content, html, repeated, source)
+            columns = [batch.column("content").to_pylist(), batch.column("raw_html").to_pylist(), host_lines(batch.column("site_key"), batch.column("recurrent")), batch.column("site_source").to_pylist()]
+            for i, (content, html, recurrent, source) in enumerate(zip(*columns, strict=True)):
+                flags = line_flags(content, html, repeated_flags(content.split("\n"), recurrent), source)
                 found = [k for k, f in enumerate(flags, 1) if not f]
                 rows.extend([i] * len(found))
                 numbers.extend(found)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int64())], ["article_id", "line_no"])
 
     ready = prepared(articles, sites).filter(F.length("raw_html") > 0)
-    return ready.select("article_id", "content", "raw_html", "repeated", "site_source").mapInArrow(run, f"article_id {kind}, line_no bigint")
+    return ready.select("article_id", "content", "raw_html", "site_key", "recurrent", "site_source").mapInArrow(run, f"article_id {kind}, line_no bigint")

@@ -12,39 +12,41 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.sites import small_side, url_host
+from newsloom.llm.notices import SENTENCE, hints, is_notice, notice_characters
+from newsloom.llm.sitelines import host_lines, repeated_flags, with_recurrent
+from newsloom.llm.sites import url_host
 
-#: A line is boilerplate from this many distinct URLs of its host, and this share of them.
-MIN_URLS, MIN_SHARE = 3, 0.1
-#: Characters up to which a residual can be a page without content, and the share of it that says so; of a
-#: page of nothing but recurrent lines.
-SHORT, MOSTLY, WHOLLY = 400, 0.5, 0.95
+#: Share of a residual that says that it is a page without content; of a page of nothing but recurrent lines.
+MOSTLY, WHOLLY = 0.5, 0.95
 
 # Names that templates use for what they fill in.
 NAMES = "title|titel|headline|heading|subject|city|name|author|date|body|content|text|summary|teaser|description|caption|image|link|url|category|tag|page|item|article|post|site|user|email|company|year|month|day|price|cause|reason|error|message|msg|status|fehlertext|code|value|label"
 NAME = rf"[A-Za-z][\w-]*[._][\w.-]*[A-Za-z]|(?i:{NAMES})"
+# Delimiters of template languages, whatever stands between them (up to the next opening one); single brackets,
+# percent and number signs and the like only around a name; directives of formatting that stand alone.
 PLACEHOLDER = re.compile(
-    r"\{\{\{?[^{}\n]{0,60}\}\}\}?|\$!?\{[^{}\n]{0,60}\}|#\{[^{}\n]{0,60}\}|(?:<|&lt;)%[^\n]{0,60}?%(?:>|&gt;)|\{%[^\n]{0,60}?%\}|@@[\w.]{1,40}@@|__MSG_[\w.]+?__|<!--#echo\b[^\n]{0,60}?-->|\[\[[\w.]{1,40}\]\]"
-    rf"|\[(?:{NAME})\]|\{{(?:{NAME})\}}|%(?:{NAME})%"
+    r"(?=[{$#<&%@_\[])(?:\{\{\{?[^{}\n]*\}\}\}?|\$!?\{[^{}\n]*\}|#\{[^{}\n]*\}|(?:<|&lt;)%(?:(?!<%|&lt;%)[^\n])*?%(?:>|&gt;)|(?:<|&lt;)\?(?:=|php\b)(?:(?!<\?|&lt;\?)[^\n])*?\?(?:>|&gt;)|\{%(?:(?!\{%)[^\n])*?%\}|@@[\w.]+@@|__MSG_[\w.]+?__|<!--#echo\b(?:(?!<!--)[^\n])*?-->|\[\[[\w.]+\]\]"
+    r"|(?<![\w$])__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?!\w)|%\([A-Za-z_]\w*\)[sdr]|(?<![\w{])\{\d\}(?![\w}])|(?<![\w%])%(?:\d\$)?[sd](?![\w%])"
+    rf"|\[(?:{NAME})\]|\{{(?:{NAME})\}}|%(?:{NAME})%|(?<![\w#])#(?:{NAME})#(?![\w#])|(?<![\w$])\$(?:{NAME})\$(?![\w$]))"
 )
-HINT = re.compile(r"[{@\[<]|&lt;%|%[A-Za-z]|__MSG")
+HINT = re.compile(r"[{@\[<$#]|&lt;[%?]|%[(\w]|__[A-Z]")
 #: Words of sentences that speak about placeholders instead of holding one by mistake.
 MENTION = re.compile(
     r"\b(?:manual|template|placeholder|filled in|syntax|handbuch|platzhalter|ausgefüllt|manuel|plantilla|preenchid\w+|руководств\w+|шаблон\w*|hướng dẫn)\b|手册|模板|占位|说明书|マニュアル|テンプレート|説明書|คู่มือ|แม่แบบ|टेम्पलेट|पुस्तिका",
     re.I,
 )
-#: Characters on either side of a placeholder in which its sentence is looked for.
-REACH = 400
+#: Ends of sentences around a placeholder.
+STOP = re.compile(r"\n|[.!?] |[。！？।]")
 QUOTES = "\"'“”‘’„«»「」`"
 # Filler texts, stand-in values, and what sites serve instead of content.
 LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
 LOREM_MARKS = ("lorem", "ipsum", "dolor", "aliqua", "mollit", "tempor", "labore", "consectetur")
 FILLER = re.compile(r"lorem ipsum|blindtext|\b(?:body )?(?:text|copy|content|headline|title) (?:goes here|to come)|dummy text|placeholder text|aquí va el texto|texto de ejemplo|texte d[’']exemple|hier steht|テキストが入ります|ダミーテキスト|此处填写|在此输入|текст[- ]заполнитель", re.I)
 STAND_IN = re.compile(
-    r"undefined|null|nan|none|\[object object\]|untitled(?: document| page)?|\(?(?:no|without) title\)?|(?:test[ .,!-]*){2,}|loading ?(?:\.{2,}|…)?|加载中 ?(?:\.{2,}|…)?|読み込み中 ?(?:\.{2,}|…)?|загрузка ?(?:\.{2,}|…)?|(?:标题)+|请输入\w{1,6}|titel hier eingeben|(?:enter|insert|sample|your) (?:\w+ )?(?:headline|title)(?: (?:goes )?here)?|(?:headline|title) (?:goes )?here|escriba el título aquí|título aqui|\?{3,}|x{3,}",
+    r"undefined|null|nan|none|\[object object\]|untitled(?: document| page)?|\(?(?:no|without) title\)?|(?:test[ .,!-]*){2,}|loading ?(?:\.{2,}|…)?|加载中 ?(?:\.{2,}|…)?|読み込み中 ?(?:\.{2,}|…)?|загрузка ?(?:\.{2,}|…)?|(?:标题)+|请输入\w{1,6}|titel hier eingeben|(?:enter|insert|sample|your) (?:\w+ )?(?:headline|title)(?: (?:goes )?here)?|(?:headline|title) (?:goes )?here|escriba el título aquí|título aqui|\?{3,}|x{3,12}",
     re.I,
 )
 SERVED = re.compile(
@@ -52,37 +54,35 @@ SERVED = re.compile(
     re.I,
 )
 SERVED_SENTENCE = re.compile(
-    r"(?:page|seite|página|страниц\w|trang|पृष्ठ|หน้า|页面|ページ|address|document).{0,60}(?:not found|not exist|no longer|is gone|introuvable|nicht gefunden|existiert nicht|no existe|no encontrad|não foi encontrad|не найден|удален|không tồn tại|không tìm thấy|उपलब्ध नहीं|नहीं मिल|不存在|已被删除|見つかりません)|ไม่พบหน้า|nothing lives at this address|moved or removed|introuvable"
-    r"|internal server error|bad gateway|service unavailable|gateway time-?out|try again later|系统繁忙|请稍后再试|稍后重试|down for maintenance|do not have permission|permission to (?:view|access)|access denied|session has expired|sign in again|upstream gave no answer|connection dropped"
+    r"(?:page|seite|página|страниц\w|trang|पृष्ठ|หน้า|页面|ページ|address|document).{0,60}(?:not found|not exist|no longer|is gone|introuvable|nicht gefunden|existiert nicht|no existe|no encontrad|não foi encontrad|не найден|удален|không tồn tại|không tìm thấy|उपलब्ध नहीं|नहीं मिल|不存在|已被删除|見つかりません)|ไม่พบหน้า|moved or removed|introuvable"
+    r"|internal server error|bad gateway|service unavailable|gateway time-?out|try again later|系统繁忙|请稍后再试|稍后重试|down for maintenance|do not have permission|permission to (?:view|access)|access denied|session has expired|sign in again"
     r"|java ?script|(?:enable|activate|turn on|need) \w{0,5} ?scripts?\b|启用脚本|开启脚本"
-    r"|verify you are human|just a moment|checking your browser|look at your browser|unusual traffic|complete the check|captcha|are you a robot",
+    r"|verify you are human|just a moment|checking your browser|unusual traffic|complete the check|captcha|are you a robot",
     re.I,
 )
 MARKUP = re.compile(r"<!doctype|<html|<head\b|<body\b|<title>", re.I)
 
 
-#: White space of Unicode; all of it counts as a space.
-SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
-def normal_line(line: Column) -> Column:
-    """A line without digits 0-9, in lower case, each run of white space as one space, none at the ends."""
-    plain = F.lower(F.translate(line, SPACES + "0123456789", " " * len(SPACES)))
-    return F.trim(F.when(plain.contains("  "), F.regexp_replace(plain, " +", " ")).otherwise(plain))
-
-
 def has_placeholder(text: str) -> bool:
     if not HINT.search(text):
         return False
+    begin = end = 0
+    spoken = None
     for m in PLACEHOLDER.finditer(text):
-        # the sentence around it, as far as it is within reach
-        low, high = max(0, m.start() - REACH), m.end() + REACH
-        begin = max(text.rfind(c, low, m.start()) for c in ("\n", ". ", "! ", "? ", "。", "！", "？", "।")) + 1 or low
-        stops = [k for c in ("\n", ". ", "! ", "? ", "。", "！", "？", "।") if (k := text.find(c, m.end(), high)) >= 0]
-        sentence = text[begin : min(stops, default=high)]
+        # the sentence around it; placeholders of one sentence have it in common
+        if not begin <= m.start() < end:
+            begin = last = 0
+            for stop in STOP.finditer(text, end if m.start() >= end else 0):
+                if stop.end() > m.start():
+                    break
+                last = stop.end()
+            begin = last or end
+            stop = STOP.search(text, m.end())
+            end = stop.start() if stop else len(text)
+            spoken = MENTION.search(PLACEHOLDER.sub(" ", text[begin:end]))
         if text[m.start() - 1 : m.start()] in QUOTES and text[m.end() : m.end() + 1] in QUOTES and m.start() > 0 and m.end() < len(text):
             continue
-        if not MENTION.search(PLACEHOLDER.sub(" ", sentence)):
+        if not spoken:
             return True
     return False
 
@@ -102,8 +102,13 @@ def evidence(text: str | None, field: str, share: float = MOSTLY) -> str | None:
     total = sum(map(len, units)) or 1
     low = text.lower()
     latin = any(w in low for w in LOREM_MARKS)
-    filler = sum(len(u) for u in units if latin and is_filler(u) or (total <= SHORT * 4 and FILLER.search(u) and len(FILLER.sub("", u)) <= max(12, len(u) // 2)))
-    if filler and (field != "content" or filler >= MOSTLY * total or filler >= 80):
+    # a filler paragraph is residue wherever it stands; words that announce a text, only where they are most of it
+    if latin and any(map(is_filler, units)):
+        return "filler"
+    announced = 0
+    if field != "content":
+        announced = sum(map(announced_characters, units))
+    if announced:
         return "filler"
     if field == "error":
         if MARKUP.search(text) or SERVED_SENTENCE.search(text) and not re.match(r"(?:http|timeout|connection|tls|dns)\b", text.strip(), re.I):
@@ -116,39 +121,42 @@ def evidence(text: str | None, field: str, share: float = MOSTLY) -> str | None:
             t = t.strip(" \t　 ")
             if STAND_IN.fullmatch(t):
                 return "stand-in"
-            if SERVED.fullmatch(t.rstrip(".!。 ")):
+            if SERVED.fullmatch(t.rstrip(".!。 ")) or is_notice(t):
                 return "served"
         return None
-    if total > SHORT:
-        return None
-    served = sum(len(u) for u in units if SERVED.fullmatch(u.rstrip(".!。 ")) or SERVED_SENTENCE.search(u) or STAND_IN.fullmatch(u) or (MARKUP.search(u)))
-    if served >= share * total:
-        return "served"
-    return None
+    served, left = 0, total
+    for u in units:
+        left -= len(u)
+        found, kinds = hints(u)
+        if kinds & 8:
+            announced += announced_characters(u)
+        if SERVED.fullmatch(u.rstrip(".!。 ")) or STAND_IN.fullmatch(u) or "<" in u and MARKUP.search(u):
+            served += len(u)
+        elif kinds & 4 or kinds & 3 == 3:
+            served += max(notice_characters(u, found), spoken_characters(u) if kinds & 4 else 0)
+        if max(served, announced) + left < min(share, MOSTLY) * total:
+            return None
+    return "filler" if announced >= MOSTLY * total else "served" if served >= share * total else None
 
 
-def recurrent_lines(articles: DataFrame) -> DataFrame:
-    """(site_key, recurrent array<bigint>): keys of the lines that recur over a host's pages.
+def announced_characters(unit: str) -> int:
+    """Characters of a line if it is mostly words that announce a text which never came."""
+    return len(unit) if FILLER.search(unit) and len(FILLER.sub("", unit)) <= max(12, len(unit) // 2) else 0
 
-    Distinct (host, line, URL) are counted in two steps, so a host with a third of all rows is
-    pre-aggregated over all tasks.  At most mean-lines-per-page / MIN_SHARE lines a host can pass.
-    """
-    pages = articles.filter(F.length("content") > 0).select(url_host(F.col("url")).alias("site_key"), F.xxhash64("url").alias("page"), "content")
-    lines = pages.select("site_key", "page", F.explode(F.split("content", "\n")).alias("line")).select("site_key", "page", normal_line(F.col("line")).alias("line")).filter("line <> ''")
-    counted = lines.select("site_key", "page", F.xxhash64("line").alias("key")).distinct().groupBy("site_key", "key").agg(F.count("*").alias("urls"))
-    totals = pages.select("site_key", "page").distinct().groupBy("site_key").agg(F.count("*").alias("all_urls"))
-    return (
-        counted.filter(F.col("urls") >= MIN_URLS)
-        .join(totals, "site_key")
-        .filter(F.col("urls") >= MIN_SHARE * F.col("all_urls"))
-        .groupBy("site_key")
-        .agg(F.collect_set("key").alias("recurrent"))
-    )
+
+def spoken_characters(unit: str) -> int:
+    """Characters of the sentences of a line in which a site speaks for itself."""
+    if not SERVED_SENTENCE.search(unit):
+        return 0
+    return sum(len(m[0]) for m in SENTENCE.finditer(unit) if SERVED_SENTENCE.search(m[0])) or len(unit)
 
 
-def with_recurrent(keyed: DataFrame, articles: DataFrame) -> DataFrame:
-    """``keyed`` (with site_key) with ``recurrent`` of its host; broadcast if such hosts are few: one bounded array a host."""
-    return keyed.join(small_side(recurrent_lines(articles)), "site_key", "left")
+def residual(text: str, recurrent: frozenset[int]) -> tuple[str, bool]:
+    """A text without its host's recurrent lines; or as it stands, and True, if nothing would be left: a site can serve one
+    error page for many URLs."""
+    lines = text.split("\n")
+    rest = "\n".join(line for line, r in zip(lines, repeated_flags(lines, recurrent), strict=True) if not r)
+    return (rest, False) if rest.strip() else (text, True)
 
 
 def residue(items: DataFrame, articles: DataFrame, sites: DataFrame | None = None) -> DataFrame:
@@ -158,28 +166,26 @@ def residue(items: DataFrame, articles: DataFrame, sites: DataFrame | None = Non
     rows give repeated rows; a null URL has no host and nothing is subtracted from its content;
     an empty table gives an empty result.  ``sites`` is not read: lines are counted for every host.
     """
-    content = (
-        articles.filter(F.length("content") > 0)
-        .select(F.lit("article").alias("record_kind"), F.col("article_id").alias("record_id"), F.lit("content").alias("field"), "content", url_host(F.col("url")).alias("site_key"))
-    )
-    content = with_recurrent(content, articles)
-    kept = F.filter(F.split("content", "\n"), lambda x: ~F.array_contains("recurrent", F.xxhash64(normal_line(x))))
-    # a page of nothing but recurrent lines is judged as it stands: a site can serve one error page for many URLs
-    rest = F.array_join(kept, "\n")
-    residual = F.when(F.col("recurrent").isNull() | (F.trim(rest) == ""), F.col("content")).otherwise(rest)
-    content = content.select("record_kind", "record_id", "field", residual.alias("text"), (F.trim(rest) == "").alias("whole"))
-    errors = articles.select(F.lit("article").alias("record_kind"), F.col("article_id").alias("record_id"), F.lit("error").alias("field"), F.col("error").alias("text"), F.lit(False).alias("whole"))
-    titles = items.select(F.lit("item").alias("record_kind"), F.col("item_id").alias("record_id"), F.lit("title").alias("field"), F.col("title").alias("text"), F.lit(False).alias("whole"))
-    fields = titles.unionByName(errors).unionByName(content).filter(F.length("text") > 0)
+    key = F.lit(None).cast("string").alias("site_key")
+    content = articles.select(F.lit("article").alias("record_kind"), F.col("article_id").alias("record_id"), F.lit("content").alias("field"), F.col("content").alias("text"), url_host(F.col("url")).alias("site_key"))
+    errors = articles.select(F.lit("article").alias("record_kind"), F.col("article_id").alias("record_id"), F.lit("error").alias("field"), F.col("error").alias("text"), key)
+    titles = items.select(F.lit("item").alias("record_kind"), F.col("item_id").alias("record_id"), F.lit("title").alias("field"), F.col("title").alias("text"), key)
+    filled = F.length("text") > 0
+    none = F.lit(None).cast("array<bigint>").alias("recurrent")
+    # what has no host's lines to lose is not joined
+    fields = titles.unionByName(errors).filter(filled).select("*", none).unionByName(with_recurrent(content.filter(filled), articles))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(k).to_pylist() for k in (2, 3, 4))
-            found = [evidence(t, f, WHOLLY if w else MOSTLY) for f, t, w in zip(*columns, strict=True)]
+            found = []
+            for field, text, recurrent in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), host_lines(batch.column(4), batch.column(5)), strict=True):
+                text, whole = residual(text, recurrent) if recurrent else (text, False)
+                found.append(evidence(text, field, WHOLLY if whole else MOSTLY))
             rows = [i for i, f in enumerate(found) if f]
             taken = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*taken.columns[:3], pa.array([found[i] for i in rows], pa.string())], ["record_kind", "record_id", "field", "kind"])
 
+    fields = fields.select("record_kind", "record_id", "field", "text", "site_key", "recurrent")
     return fields.mapInArrow(run, "record_kind string, record_id bigint, field string, kind string")
 
 
