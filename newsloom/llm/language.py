@@ -26,11 +26,9 @@ from newsloom.llm.sites import sample_texts
 
 #: Rows sampled to train on, bytes of a dictionary, and the share of the next best size by which the best must beat it.
 SAMPLE_ROWS, DICTIONARY_BYTES, MARGIN = 2500, 60_000, 0.08
-LEVEL = 1
+LEVEL = 3
 #: Characters of a passage that are compressed at a time.
 PART = 600
-#: Excess log odds of a garbled passage from which the content is repaired first; less of it cannot change a language.
-REPAIR = 20.0
 
 # Frequent short words; they seed a dictionary and check lines to train on.
 FUNCTION_WORDS = {
@@ -48,8 +46,14 @@ FUNCTION_WORDS = {
 }
 LATIN = ("en", "de", "fr", "es", "pt", "vi")
 WORDS = {k: frozenset(FUNCTION_WORDS[k].split()) for k in LATIN}
-SCRIPTS = re.compile(r"([A-Za-zÀ-ɏḀ-ỿ]+)|([Ѐ-ӿ]+)|([぀-ヿｦ-ﾟ]+)|([一-鿿㐀-䶿]+)|([฀-๿]+)|([ऀ-ॿ]+)")
+SCRIPTS = re.compile(r"([A-Za-zÀ-ɏḀ-ỿ]+)|([Ѐ-ӿ]+)|([぀-ヿｦ-ﾟ]+)|([一-鿿㐀-䶿]+)|([฀-๿]+)|([ऀ-ॿ]+)|([가-힣ᄀ-ᇿ]+)|([؀-ۿ]+)|([Ͱ-Ͽ]+)|([֐-׿]+)")
+KINDS = range(1, 11)
 CANDIDATES = {1: LATIN, 2: ("ru",), 3: ("ja", "zh"), 4: ("zh", "ja"), 5: ("th",), 6: ("hi",)}
+#: Scripts that tell a language although no dictionary is trained for it; Arabic script is that of several, so it tells none.
+ALONE = {7: "ko", 9: "el", 10: "he"}
+#: Words of a passage in Latin script, none of which is a frequent one of the language named, that say that it is in another
+#: (Vietnamese has letters of its own).
+STRANGE = 20
 
 # ISO 639 codes and names of languages in labels.
 LABELS = {
@@ -74,14 +78,14 @@ def label_code(label: str | None) -> str | None:
 
 
 _LETTERS = re.compile(r"[^A-Za-zÀ-ɏḀ-ỿ]+")
-_OTHER_SCRIPTS = re.compile(r"[Ѐ-ӿऀ-ॿ฀-๿぀-ヿ㐀-䶿一-鿿ｦ-ﾟ]")
+_OTHER_SCRIPTS = re.compile(r"[Ѐ-ӿऀ-ॿ฀-๿぀-ヿ㐀-䶿一-鿿ｦ-ﾟ가-힣ᄀ-ᇿ؀-ۿͰ-Ͽ֐-׿]")
 #: Addresses and domain names: in Latin script whatever the language around them.
 ADDRESS = re.compile(r"(?:https?://\S+|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
 
 
 def script_counts(text: str) -> list[int]:
     """Letters of a text by script, at the places of the groups of SCRIPTS."""
-    n = [0] * 7
+    n = [0] * (len(KINDS) + 1)
     if not _OTHER_SCRIPTS.search(text):
         n[1] = len(_LETTERS.sub("", text))
     else:
@@ -124,15 +128,17 @@ class Model:
         letters = script_counts(ADDRESS.sub(" ", text) if "." in text and _OTHER_SCRIPTS.search(text) else text)
         # a character of a script without spaces says as much as some letters
         weighed = [n * (3 if k in (3, 4) else 1) for k, n in enumerate(letters)]
-        script = max(range(1, 7), key=weighed.__getitem__)
+        script = max(KINDS, key=weighed.__getitem__)
         if not weighed[script]:
             return None, 0.0
         if script == 4 and letters[3] * 5 >= letters[4]:
             script = 3
-        candidates = [c for c in CANDIDATES[script] if c in self.dictionaries]
+        if script in ALONE:
+            return ALONE[script], weighed[script] / sum(weighed)
+        candidates = [c for c in CANDIDATES.get(script, ()) if c in self.dictionaries]
         share = (weighed[3] + weighed[4] if script in (3, 4) else weighed[script]) / sum(weighed)
-        if len(candidates) == 1:
-            return candidates[0], share
+        if len(candidates) <= 1:
+            return (candidates[0], share) if candidates else (None, 0.0)
         # long passages go in parts, so that what they repeat themselves does not hide what the dictionary knows
         parts = [text] if len(text) <= PART else [text[k : k + PART] for k in range(0, len(text), PART)]
         raws = [p.encode("utf-8", "surrogatepass") for p in parts]
@@ -142,6 +148,10 @@ class Model:
         margin = (second - best) / max(second, 1)
         if margin < MARGIN:
             return None, share * (0.5 + margin / MARGIN / 4)
+        if script == 1:
+            words = text.lower().split() if lang != "vi" else ()
+            if len(words) >= STRANGE and WORDS[lang].isdisjoint(words):
+                return None, share / 2
         return lang, share * (1 - best / max(second, 1) / 2)
 
 
@@ -169,14 +179,14 @@ def line_language(line: str) -> str | None:
     letters = script_counts(line)
     if sum(letters) < 15:
         return None
-    script = max(range(1, 7), key=letters.__getitem__)
+    script = max(KINDS, key=letters.__getitem__)
     if letters[script] < 0.8 * sum(letters) and script not in (3, 4):
         return None
     if script == 1:
         words = line.lower().split()
         hits = sorted(((sum(w in known for w in words), k) for k, known in WORDS.items()), reverse=True)
         return hits[0][1] if hits[0][0] >= 2 and hits[0][0] >= 1.5 * hits[1][0] + 0.5 else None
-    return {2: "ru", 3: "ja", 4: "ja" if letters[3] * 8 >= letters[4] else "zh", 5: "th", 6: "hi"}[script]
+    return {2: "ru", 3: "ja", 4: "ja" if letters[3] * 8 >= letters[4] else "zh", 5: "th", 6: "hi"}.get(script)
 
 
 ENDS = re.compile(r"(?:[.!?…]+[\"'”’“»)\]]*(?=\s|$|[A-ZА-ЯÀ-Þ])|[。！？।]+)")
@@ -194,26 +204,61 @@ def sentence_count(text: str, lang: str | None) -> int:
     return n
 
 
-def pieces(line: str) -> list[str]:
-    """The line, or its sentences where it mixes scripts."""
-    if not _OTHER_SCRIPTS.search(line):
-        return [line]
-    n = script_counts(line)
-    n[3] += n[4]
-    n[4] = 0
-    total = sum(n)
-    if total and sorted(n)[-2] >= 25 and sorted(n)[-2] >= 0.1 * total:
-        cut = [p for p in re.split(r"(?<=[.!?。！？।])\s*(?=\S)", line) if p]
-        return cut if len(cut) > 1 else [line]
-    return [line]
+_SENTENCES = re.compile(r"(?<=[.!?。！？।])\s*(?=\S)")
+
+
+def foreign_words(sentences: list[str], lang: str) -> bool:
+    """Does a sentence in Latin script hold frequent words of another language, clearly more than of this one?"""
+    for sentence in sentences:
+        words = sentence.lower().split()
+        own = sum(w in WORDS[lang] for w in words)
+        if any(k != lang and (n := sum(w in known for w in words)) >= 2 and n >= 2 * own + 1 for k, known in WORDS.items()):
+            return True
+    return False
+
+
+def pieces(line: str, model: Model) -> list[tuple[str, str | None, float]]:
+    """(passage, language, confidence): the line, or its runs of sentences where it mixes scripts or languages."""
+    whole = model.classify(line)
+    if _OTHER_SCRIPTS.search(line):
+        n = script_counts(line)
+        n[3] += n[4]
+        n[4] = 0
+        mixed = sorted(n)[-2] >= 25
+    else:
+        mixed = None
+    if mixed is False or len(line) < 60:
+        return [(line, *whole)]
+    cut = [p for p in _SENTENCES.split(line) if p]
+    if len(cut) < 2 or mixed is None and whole[0] is not None and not foreign_words(cut, whole[0]):
+        return [(line, *whole)]
+    out: list[tuple[str, str | None, float]] = []
+    for p in cut:
+        lang, sure = model.classify(p)
+        if out and out[-1][1] == lang:
+            text, _, other = out.pop()
+            out.append((f"{text} {p}", lang, (sure * len(p) + other * len(text)) / (len(p) + len(text))))
+        else:
+            out.append((p, lang, sure))
+    return out
 
 
 def segments(lines: list[str], kept: list[bool], model: Model) -> list[tuple[int, str, str | None, float]]:
-    """(line number, passage, language, confidence) of the kept lines; a passage that cannot be told takes its neighbours'."""
+    """(line number, passage, language, confidence) of the kept lines; a passage that cannot be told, between two in one
+    language, takes theirs."""
     out: list[tuple[int, str, str | None, float]] = []
     for k, (line, keep) in enumerate(zip(lines, kept, strict=True), 1):
         if keep and line.strip():
-            out.extend((k, p, *model.classify(p)) for p in pieces(line.strip()))
+            out.extend((k, *p) for p in pieces(line.strip(), model))
+    after, following = None, [None] * len(out)
+    for i in range(len(out) - 1, -1, -1):
+        following[i] = after
+        after = out[i][2] or after
+    before = None
+    for i, (k, p, lang, sure) in enumerate(out):
+        if lang is None and sure and before is not None and before == following[i]:
+            out[i] = (k, p, before, sure)
+        before = out[i][2] or before
     return out
 
 
@@ -240,7 +285,7 @@ def article_languages(content: str, html: str | None, repeated: list[bool], sour
     texts = content.split("\n")
     kept = [not r and not (named and len(t) < 200 and name in t.casefold()) and " > " not in t for t, r in zip(texts, repeated, strict=True)]
     lost = False
-    if repair is not None and (mojibake.LOST.search(content) or mojibake.SWAPPED.search(content) or repair.excess([content])[0] >= REPAIR):
+    if repair is not None and (mojibake.LOST.search(content) or mojibake.SWAPPED.search(content) or repair.excess([content])[0] >= mojibake.GATE):
         fixed = mojibake.examine(content, repair)[1].split("\n")
         # what lost its characters says nothing of its language
         lost = any(mojibake.LOST.search(t) for t in fixed)
@@ -304,8 +349,13 @@ def document_languages(articles: DataFrame, sites: DataFrame, model: Model, repa
 
 def mislabelled(articles: DataFrame, found: DataFrame) -> DataFrame:
     """(article_id, lang) of the articles whose label is missing, says nothing, is wrong, or whose main body holds several languages."""
-    code = F.udf(label_code, "string")
-    labels = articles.select("language").distinct().select("language", code("language").alias("label"))  # one row a notation
+    kind = "language string, label string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(label_code, batch.column(0).to_pylist()), pa.string())], ["language", "label"])
+
+    labels = articles.select("language").distinct().mapInArrow(run, kind)  # one row a notation
     labelled = articles.select("article_id", "language").join(labels, articles.language.eqNullSafe(labels.language), "left").select("article_id", "label")
     per = found.groupBy("article_id").agg(F.max(F.when(F.col("is_main"), F.col("lang"))).alias("main"), F.collect_set("lang").alias("langs"))
     wrong = per.join(labelled.dropDuplicates(["article_id"]), "article_id").filter(F.col("label").isNull() | (F.col("label") != F.col("main")) | (F.size("langs") > 1))

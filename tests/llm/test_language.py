@@ -90,3 +90,21 @@ def test_table(spark, model):
     everything = language.document_languages(df, sites, model, None)
     assert everything.filter(F.col("is_main")).count() == 5
     assert language.document_languages(df.limit(0), sites, model, None).count() == 0
+
+
+def test_two_sentences_within_a_paragraph_of_another_language(model):
+    for outer, inner in (("de", "en"), ("fr", "de"), ("en", "es")):
+        line = f"{TEXTS[outer]} {TEXTS[inner]} {TEXTS[outer]}"
+        assert [x for x, _ in language.article_languages(line, None, [False], None, outer, model, None)] == [outer, inner]
+        assert [x for x, _ in language.article_languages(f"{TEXTS[outer]} {TEXTS[outer]}", None, [False], None, outer, model, None)] == [outer]
+
+
+def test_languages_without_a_dictionary(model):
+    for text in ("Il consiglio comunale ha approvato ieri sera dopo quattro ore una delibera sul ponte che collega fra loro due rive del fiume con spese di molti milioni.", "وافق المجلس البلدي على بناء الجسر الجديد فوق النهر."):
+        assert model.classify(text)[0] is None
+    assert model.classify("시의회는 강 위의 새 다리를 승인했다.")[0] == "ko" and model.classify("Το συμβούλιο ενέκρινε τη γέφυρα.")[0] == "el"
+
+
+def test_a_passage_that_cannot_be_told_takes_its_neighbours(model):
+    found = language.segments([TEXTS["de"], "Kel Norvel Brawen Zor", TEXTS["de"], "Kel", TEXTS["ru"]], [True] * 5, model)
+    assert [x for _, _, x, _ in found][:3] == ["de", "de", "de"] and found[3][2] != "ru"
