@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Forms of times, in the order in which they are tried.
+# Forms of times, in the order in which they are tried (the blank within one of the words is on purpose).
 FORMS = (
     r"([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}(?:\s+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)?)",
     r"([0-9]{1,2}[-/][0-9]{1,2})(?![0-9])",
@@ -33,7 +33,8 @@ def short_time_text(text: Column) -> Column:
 
 
 def to_epoch(text: Column, reference_ts: Column | None = None) -> Column:
-    """UTC second of an absolute time, or of a relative one against ``reference_ts`` (a UTC second)."""
+    """UTC second of an absolute time, or against ``reference_ts`` (a UTC second) of a relative one, of a day of its year
+    without a year, and of a time of its day without a date."""
     t = F.regexp_replace(F.regexp_replace(F.trim(text), PREFIXES, ""), PREFIXES, "")
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "小時", "小时"), "分鐘", "分钟"), "週", "周")
     plain = F.regexp_replace(F.regexp_replace(t, r"^([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日", "$1-$2-$3"), "/", "-")
@@ -56,5 +57,18 @@ def to_epoch(text: Column, reference_ts: Column | None = None) -> Column:
         .when(t.rlike(r"(?i)^[0-9]+\s*(?:天|days?)"), 86400)
         .when(t.rlike(r"(?i)^[0-9]+\s*(?:周|weeks?)"), 604800)
     )
-    relative = F.when(t.rlike(r"(?i)前$|ago$"), reference_ts - amount * unit).when(t.rlike(r"(?i)^(?:刚刚|just now)$"), reference_ts)
-    return F.coalesce(absolute, relative)
+    # wall clock of the zone at the reference, in the fields of a timestamp
+    clock = F.from_utc_timestamp(F.timestamp_seconds(reference_ts), ZONE)
+    back = lambda wall: F.unix_timestamp(F.to_utc_timestamp(wall, ZONE))
+    months = F.make_interval(months=-amount.cast("int")) if hasattr(F, "make_interval") else None
+    relative = (
+        F.when(t.rlike(r"(?i)^[0-9]+\s*months?\s*ago$"), back(clock + months))
+        .when(t.rlike(r"(?i)前$|ago$"), reference_ts - amount * unit)
+        .when(t.rlike(r"(?i)^(?:刚刚|剛 剛|今天|just now|today)$"), reference_ts)
+        .when(t.rlike(r"(?i)^(?:昨天|yesterday)$"), reference_ts - 86400)
+        .when(t.rlike(r"^前天$"), reference_ts - 2 * 86400)
+    )
+    year, day = F.date_format(clock, "yyyy"), F.date_format(clock, "yyyy-MM-dd")
+    of_year = F.when(t.rlike(r"^[0-9]{1,2}(?:[-/][0-9]{1,2}|月[0-9]{1,2}日)$"), F.try_to_timestamp(F.concat(year, F.lit("-"), F.regexp_extract(t, r"^([0-9]+)", 1), F.lit("-"), F.regexp_extract(t, r"([0-9]+)日?$", 1)), F.lit("yyyy-M-d")))
+    of_day = F.coalesce(*(F.when(t.rlike(shape), F.try_to_timestamp(F.concat(day, F.lit(" "), t), F.lit(f"yyyy-MM-dd {pattern}"))) for shape, pattern in ((r"^[0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "H:m:s"), (r"^[0-9]{1,2}:[0-9]{2}$", "H:m"))))
+    return F.coalesce(absolute, relative, back(of_year), back(of_day))

@@ -81,7 +81,11 @@ def anchor_urls(urls: DataFrame, group: list[str], url: str = "url") -> DataFram
     the confident ones stand.  The parsed URLs are written once, since every branch reads them.
     """
     shaped = with_structure(urls.select(*group, url).distinct(), url)
-    counted = checkpointed(shaped.withColumn("n_sure", F.count_if("confident").over(Window.partitionBy(*group))))
+    shaped = checkpointed(shaped)
+    # counted by aggregation, not over a window: a group can hold a third of all URLs
+    n_sure = shaped.groupBy(*group).agg(F.count_if("confident").alias("n_sure")).alias("n")
+    same = [F.col(f"s.{g}").eqNullSafe(F.col(f"n.{g}")) for g in group]
+    counted = shaped.alias("s").join(n_sure, same).select("s.*", "n.n_sure")
     sure, unsure = counted.filter("n_sure >= 2 and confident"), counted.filter("n_sure < 2")
     clustered = kept_urls(sure, group, url)
     enough = clustered.groupBy(*group).agg(F.count("*").alias("n")).filter("n >= 2").select(*group)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html.entities
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,21 +16,40 @@ NO_CONTENT = r"(?is)<!--.*?-->|<(script|style|noscript|iframe)\b.*?</\1\s*>"
 ANCHOR = r"""(?is)<a\s[^>]*?\bhref\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)[^>]*>.*?(?=</a\s*>|<a\s|$)"""
 HREF = r"""(?is)^<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
 SKIPPED = r"^(?:javascript:|#|mailto:|tel:|data:)"
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: Characters of the named entities of HTML 4; the ampersand comes last, on its own.
+ENTITIES = {f"&{name};": chr(code) for name, code in html.entities.name2codepoint.items() if name != "amp"} | {"&apos;": "'"}
+
+
+def _replaced(text: Column, form: str, character: Callable[[Column], Column]) -> Column:
+    """Text with each distinct match of ``form`` replaced by its character; without one it stays."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(form), 0))
+    return F.aggregate(found, text, lambda acc, e: F.coalesce(F.replace(acc, e, character(e)), acc))
 
 
 def unescaped(text: Column) -> Column:
-    for entity, char in _ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Text with its entities as characters: named ones, and numbers up to the last of Unicode."""
+
+    def numbered(form: str, base: int) -> Callable[[Column], Column]:
+        def character(e: Column) -> Column:
+            code = F.conv(F.regexp_extract(e, form, 1), base, 10).cast("bigint")
+            known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+            return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
+        return character
 
-def scan_links(pages: DataFrame, html: str = "html") -> DataFrame:
+    known = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+    plain = _replaced(text, "&[A-Za-z][A-Za-z0-9]*;", lambda e: F.try_element_at(known, e))
+    for form, base in (("&#([0-9]{1,7});", 10), ("&#[xX]([0-9A-Fa-f]{1,6});", 16)):
+        plain = _replaced(plain, form, numbered(form, base))
+    return F.when(text.contains("&"), F.replace(plain, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+
+
+def scan_links(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """(page_id, base_url, pos, href, url, text) of every ``<a href>`` in document order, absolute, special schemes left out.
 
     Null pages and pages without links give no row.
     """
-    found = F.posexplode(F.regexp_extract_all(F.regexp_replace(F.col(html), NO_CONTENT, ""), F.lit(ANCHOR), 0)).alias("pos", "anchor")
+    found = F.posexplode(F.regexp_extract_all(F.regexp_replace(F.col(html_column), NO_CONTENT, ""), F.lit(ANCHOR), 0)).alias("pos", "anchor")
     href = F.concat(*(F.regexp_extract("anchor", HREF, k) for k in (1, 2, 3)))
     links = pages.select("page_id", "base_url", found).select(
         "page_id", "base_url", "pos", unescaped(href).alias("href"), collapsed(unescaped(F.regexp_replace(F.regexp_replace("anchor", r"(?s)^<a\s[^>]*>", ""), r"(?s)<[^>]*>", ""))).alias("text")
@@ -58,6 +80,11 @@ def longest_text_link(links: DataFrame, least: int = 5) -> DataFrame:
     )
 
 
+def ranked(rows: DataFrame, by: list[str], order: list[str | Column]) -> DataFrame:
+    """Rows with ``rank``, their place from 1 within each key in the given order."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def top_k(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
     """The first k rows of each key; all of them for k of 0 or less."""
     if k <= 0:
@@ -101,9 +128,10 @@ def score_items(items: DataFrame, by: list[str]) -> DataFrame:
     return agg.select(*by, "n_items", F.greatest(score, F.lit(0.0)).alias("score"))
 
 
-def merge_lists(items: DataFrame, page: str = "page_id", container: str = "container", share: float = 0.6) -> DataFrame:
-    """Items of the containers that score at least ``share`` of their page's best, each URL once: best container, then position first."""
+def merge_lists(items: DataFrame, page: str = "page_id", container: str = "container", share: float = 0.6, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Items of the containers that score at least ``share`` of their page's best, each URL once: best container, then position
+    first, then the columns ``ties``."""
     scored = items.join(score_items(items, [page, container]), [page, container])
     best = F.max("score").over(Window.partitionBy(page))
     kept = scored.withColumn("_best", best).filter(F.col("score") >= F.col("_best") * share).withColumn("_low", -F.col("score")).drop("_best")
-    return keep_first(kept, [page, "url"], ["_low", container, "pos"]).drop("_low")
+    return keep_first(kept, [page, "url"], ["_low", container, "pos", *ties]).drop("_low")

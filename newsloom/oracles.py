@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from newsloom.functions.encoding import ALIASES
 from newsloom.functions.urls import INDEX_WORDS, SECOND_LEVEL, SERVICE_HOSTS, STATIC_WORDS, STORY_PREFIXES, STORY_WORDS, TOP_LEVEL, TOPIC_PREFIXES
-from newsloom.samples import NAMES, PAIRS, TEMPLATES, TIMES, TITLES, URLS
+from newsloom.samples import FETCHED, NAMES, NODES, PAIRS, SIMILAR_ROWS, TEMPLATES, TIMES, TITLES, URLS
 
 _WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -256,6 +256,45 @@ def scored(source: str, by: str) -> str:
   count(*) FILTER (WHERE len({segs(path("url"))}) <= 1) AS shallow, count(*) FILTER (WHERE length(title) < 10) AS short FROM {source} GROUP BY {by}))"""
 
 
+# Literal node tables: trees are walked by recursion, and every rule is stated as it reads.
+_nodes = ", ".join(f"({p}::BIGINT, {n}::INT, {q}::INT, {str(lit).lower()})" for p, n, q, lit in NODES)
+TREES = f"""WITH RECURSIVE nodes(page_id, node, parent, lit) AS (VALUES {_nodes}),
+ deep(page_id, node, depth) AS (SELECT page_id, node, 1 FROM nodes WHERE parent = 0 UNION ALL SELECT n.page_id, n.node, d.depth + 1 FROM nodes n JOIN deep d ON n.page_id = d.page_id AND n.parent = d.node),
+ above(page_id, node, up) AS (SELECT page_id, node, node FROM nodes UNION ALL SELECT a.page_id, a.node, n.parent FROM above a JOIN nodes n ON n.page_id = a.page_id AND n.node = a.up WHERE n.parent <> 0),
+ links AS (SELECT page_id, node FROM nodes WHERE lit), pages AS (SELECT page_id, count(*) AS n FROM links GROUP BY page_id HAVING count(*) >= 2),
+ common AS (SELECT page_id, arg_max(up, depth) AS up, max(depth) AS depth FROM (SELECT a.page_id, a.up, d.depth FROM above a JOIN links l USING (page_id, node) JOIN deep d ON d.page_id = a.page_id AND d.node = a.up JOIN pages p ON p.page_id = a.page_id GROUP BY a.page_id, a.up, d.depth, p.n HAVING count(*) = p.n) GROUP BY page_id),
+ zoned AS (SELECT l.page_id, l.node, coalesce((SELECT a.up FROM above a JOIN deep d ON d.page_id = a.page_id AND d.node = a.up WHERE a.page_id = l.page_id AND a.node = l.node AND d.depth = c.depth + 1), l.node) AS zone FROM links l JOIN common c USING (page_id))"""
+_reaches = f"SELECT z.page_id, z.node, z.zone, d.depth, a.up, u.depth AS up_depth, (SELECT count(*) FROM zoned o JOIN above x ON x.page_id = o.page_id AND x.node = o.node WHERE o.page_id = z.page_id AND o.zone = z.zone AND x.up = a.up) AS held FROM zoned z JOIN deep d ON d.page_id = z.page_id AND d.node = z.node JOIN above a ON a.page_id = z.page_id AND a.node = z.node JOIN deep u ON u.page_id = a.page_id AND u.node = a.up"
+_similar = f"(SELECT page_id::BIGINT AS page_id, sample, url FROM (VALUES {', '.join(f"({p}, '{s}', '{u}')" for p, s, u in SIMILAR_ROWS)}) v(page_id, sample, url))"
+#: What the literal pages hold, by hand.
+_stories = [
+    (0, "Ferry operator & union agree on a new timetable", "/2024/0102/100002.html", "2 hours ago", FETCHED - 7200), (1, "School board measures the noise near the market", "/2024/0101/100003.html", "yesterday", FETCHED - 86400),
+    (2, "Orchard trust replaces its offer without a quorum", "/2024/0101/100004.html", "2024-01-01", 1704038400), (3, "Allotment owners archive a notice from the water board", "/2023/1231/100005.html", "2023-12-31 08:00:00", 1703980800),
+    (4, "Harbour council opens the second footbridge again", "/2024/0102/100001.html", "2024-01-02 10:30", 1704162600),
+]
+_listed = ", ".join(f"({k}, '{t}', 'https://kel.example/news{u}', '{w}', {e})" for k, t, u, w, e in _stories)
+_decoded = "(1, 'café', 'utf-8'), (2, 'café', 'latin-1'), (3, '中国', 'gbk'), (4, '中国', 'gbk'), (5, '<meta charset=gbk>中国', 'gbk'), (6, '', 'utf-8'), (7, NULL, NULL), (8, '中国', 'utf8')"
+_opened = "The council opened the footbridge on Tuesday, a year later than planned, after two rounds of repairs.\nOwners of the allotments had asked for it since the ferry was cut."
+_moment = f"to_timestamp({FETCHED}) AT TIME ZONE 'UTC' + INTERVAL 8 HOUR"
+_back = lambda wall: f"(epoch({wall}) - 28800)::BIGINT"
+_count = "nullif(regexp_extract(r, '^([0-9]+)', 1), '')::BIGINT"
+_r = f"replace(replace(replace(regexp_replace(regexp_replace(trim(t), {_pre}, ''), {_pre}, ''), '小時', '小时'), '分鐘', '分钟'), '週', '周')"
+RELATIVE = rf"""SELECT t AS text, coalesce({_back(_wall)},
+ CASE WHEN regexp_matches(r, '(?i)^[0-9]+\s*months?\s*ago$') THEN {_back(f"{_moment} - to_months({_count}::INT)")}
+  WHEN regexp_matches(r, '(?i)前$|ago$') THEN {FETCHED} - {_count} * CASE WHEN regexp_matches(r, '(?i)^[0-9]+\s*(?:秒|seconds?)') THEN 1 WHEN regexp_matches(r, '(?i)^[0-9]+\s*(?:分钟|minutes?|mins?)') THEN 60
+   WHEN regexp_matches(r, '(?i)^[0-9]+\s*(?:小时|hours?|hrs?)') THEN 3600 WHEN regexp_matches(r, '(?i)^[0-9]+\s*(?:天|days?)') THEN 86400 WHEN regexp_matches(r, '(?i)^[0-9]+\s*(?:周|weeks?)') THEN 604800 END
+  WHEN regexp_matches(r, '(?i)^(?:刚刚|剛 剛|今天|just now|today)$') THEN {FETCHED} WHEN regexp_matches(r, '(?i)^(?:昨天|yesterday)$') THEN {FETCHED - 86400} WHEN r = '前天' THEN {FETCHED - 172800} END,
+ CASE WHEN regexp_matches(r, '^[0-9]{{1,2}}([-/][0-9]{{1,2}}|月[0-9]{{1,2}}日)$') THEN {_back(rf"try_strptime('2024-' || regexp_extract(r, '^([0-9]+)', 1) || '-' || regexp_extract(r, '([0-9]+)日?$', 1), '%Y-%m-%d')")} END,
+ CASE WHEN regexp_matches(r, '^[0-9]{{1,2}}:[0-9]{{2}}:[0-9]{{2}}$') THEN {_back("try_strptime('2024-01-02 ' || r, '%Y-%m-%d %H:%M:%S')")} WHEN regexp_matches(r, '^[0-9]{{1,2}}:[0-9]{{2}}$') THEN {_back("try_strptime('2024-01-02 ' || r, '%Y-%m-%d %H:%M')")} END)::BIGINT AS epoch
+ FROM (SELECT t, {_plain} AS p, {_r} AS r FROM {_time_src} s)"""
+
+
+def _json(pairs: list[tuple[str, str]]) -> str:
+    """A JSON object as text, without its nulls."""
+    parts = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '\"{c}\":' || {v} END" for c, v in pairs)
+    return f"'{{' || array_to_string(list_filter([{parts}], lambda x: x IS NOT NULL), ',') || '}}'"
+
+
 _contained = "(SELECT item_id, page_id, pos, title, url, publish_time, pos % 3 AS container FROM news_items)"
 ORACLES = {
     "links_scan": f"SELECT page_id, pos, href, url, text FROM {LINKS}",
@@ -317,4 +356,18 @@ ORACLES = {
     "url_operators_union": f"SELECT url FROM (SELECT DISTINCT url FROM news_items UNION SELECT DISTINCT url FROM articles) WHERE url IS NOT NULL",
     "url_operators_intersect": "SELECT url FROM news_items WHERE url IS NOT NULL INTERSECT SELECT url FROM articles",
     "url_operators_except": "SELECT url FROM news_items WHERE url IS NOT NULL EXCEPT SELECT url FROM articles",
+    "heat_map_literal": f"{TREES} SELECT a.page_id, a.up AS node, count(*) AS heat FROM above a JOIN links l USING (page_id, node) GROUP BY a.page_id, a.up",
+    "hot_zones_literal": f"{TREES} SELECT page_id, node, zone, zone_size, CASE WHEN zone_size = 1 THEN node ELSE zone END AS zone_root FROM (SELECT *, count(*) OVER (PARTITION BY page_id, zone) AS zone_size FROM zoned)",
+    "boundaries_literal": f"{TREES} SELECT page_id, node, zone, arg_min(up, up_depth) AS boundary FROM ({_reaches}) WHERE held = 1 AND depth - up_depth <= 10 GROUP BY page_id, node, zone",
+    "subtrees_literal": f"{TREES} SELECT DISTINCT a.page_id, a.up AS root, a.node FROM above a JOIN zoned z ON z.page_id = a.page_id AND z.zone = a.up",
+    "similar_urls_literal": SIMILAR_URLS.replace(ANCHORS, f"(SELECT page_id, url FROM {_similar} WHERE sample = '1')").replace(ITEM_URLS, _similar),
+    "decoded_literal": f"SELECT id::BIGINT AS id, text, encoding FROM (VALUES {_decoded}) v(id, text, encoding)",
+    "list_items_literal": f"SELECT 1::BIGINT AS page_id, pos::INT AS pos, title, url, publish_time, epoch::BIGINT AS timestamp FROM (VALUES {_listed}) v(pos, title, url, publish_time, epoch)",
+    "collect_report_literal": "SELECT page_id::BIGINT AS page_id, a::BIGINT AS success_count, b::BIGINT AS failed_count, c::BIGINT AS total_count FROM (VALUES (1, 1, 4, 5), (2, 0, 0, 0), (3, 0, 0, 0)) v(page_id, a, b, c)",
+    "collected_articles_literal": f"""SELECT 1::BIGINT AS page_id, pos::INT AS pos, url, CASE WHEN pos = 4 THEN 'Footbridge opens' ELSE title END AS title, publish_time, CASE WHEN pos = 4 THEN '{_opened}' END AS content,
+ CASE WHEN pos = 4 THEN 'N. Brawen' END AS author, CASE WHEN pos = 4 THEN 'en' END AS language, pos = 4 AS success, CASE pos WHEN 4 THEN NULL WHEN 2 THEN 'no text found' ELSE 'not fetched' END AS error FROM (VALUES {_listed}) v(pos, title, url, publish_time, epoch)""",
+    "normalize_time_relative": RELATIVE,
+    "cluster_ranking": f"WITH shaped AS MATERIALIZED (SELECT * FROM {SHAPED}) SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY size DESC, template, depth, has_date))::INT AS rank, template, depth::INT AS depth, has_date, size, kept FROM {clusters('shaped')}",
+    "pattern_ranking": f"SELECT host, (row_number() OVER (PARTITION BY host ORDER BY confidence DESC, url))::INT AS rank, url, confidence, n_patterns FROM (SELECT host, url, round(confidence, 6)::DOUBLE AS confidence, n_patterns FROM {matched(ITEM_HOSTS)})",
+    "items_as_json": f"SELECT item_id, {_json([('title', 'to_json(title)'), ('url', 'to_json(url)'), ('publish_time', 'to_json(publish_time)'), ('timestamp', 'timestamp::VARCHAR')])} AS item FROM news_items",
 }

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from newsloom import oracles
 from newsloom.functions import encoding, times, titles, urls
 from newsloom.operators import clustering, links, patterns, similarity, zones
-from newsloom.plans.article import parse_articles
-from newsloom.plans.collect import collect, list_results as page_results, with_timestamps
-from newsloom.plans.listing import list_items
-from newsloom.samples import NAMES, PAIRS, TEMPLATES, TIMES, TITLES, URLS
+from newsloom.plans.article import is_valid, parse_articles
+from newsloom.plans.collect import collect, list_results as page_results, page_counts, success_counts as counts_of, timed_items, with_articles
+from newsloom.samples import BODIES, FETCHED, LISTS, NAMES, NODES, PAIRS, SIMILAR_ROWS, STORIES, TEMPLATES, TIMES, TITLES, URLS
 from newsloom.session import checkpointed, table
 from newsloom.sources.dom import dom_nodes
 from newsloom.sources.web import as_json
@@ -118,35 +117,22 @@ def contained(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merged(spark: SparkSession, sf: str) -> DataFrame:
-    items = contained(spark, sf)
-    scores = links.score_items(items, ["page_id", "container"])
-    best = scores.groupBy("page_id").agg(F.max("score").alias("best"))
-    kept = items.join(scores, ["page_id", "container"]).join(best, "page_id").filter(F.col("score") >= 0.6 * F.col("best")).withColumn("low", -F.col("score"))
-    return links.keep_first(kept, ["page_id", "url"], ["low", "container", "pos", "item_id"]).select("item_id", "page_id", "url")
+    return links.merge_lists(contained(spark, sf), ties=("item_id",)).select("item_id", "page_id", "url")
 
 
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
     """Items with the article of their URL: the article's fields, else the item's."""
-    crawled = links.keep_first(table(spark, sf, "articles").select("article_id", "url", "title", "publish_time", "content", "success"), ["url"], ["article_id"])
-    return (
-        table(spark, sf, "news_items").alias("i").join(crawled.alias("a"), "url", "left")
-        .select(
-            "i.item_id", "a.article_id", F.coalesce(F.nullif(F.col("a.title"), F.lit("")), F.col("i.title")).alias("title"),
-            F.coalesce(F.nullif(F.col("a.publish_time"), F.lit("")), F.col("i.publish_time")).alias("publish_time"),
-            F.coalesce(F.col("a.success") & (F.coalesce(F.col("a.content"), F.lit("")) != ""), F.lit(False)).alias("fetched"),
-        )
-    )
+    items, articles = table(spark, sf, "news_items"), table(spark, sf, "articles")
+    joined = with_articles(items.select("item_id", "url", "title", "publish_time"), articles.select("article_id", "url", "title", "publish_time", "content", "success"), ["article_id"])
+    return joined.select("item_id", "article_id", "title", "publish_time", "fetched")
 
 
 def success_counts(spark: SparkSession, sf: str) -> DataFrame:
-    good = F.col("success") & (F.coalesce(F.col("content"), F.lit("")) != "")
-    return table(spark, sf, "articles").groupBy("source").agg(F.count_if(good).alias("success_count"), F.count_if(~good).alias("failed_count"))
+    return counts_of(table(spark, sf, "articles"), "source")
 
 
 def list_results(spark: SparkSession, sf: str) -> DataFrame:
-    counts = table(spark, sf, "news_items").groupBy("page_id").agg(F.count("*").alias("n"))
-    pages = table(spark, sf, "pages_in").select("page_id", "url")
-    return pages.join(counts, "page_id", "left").select("page_id", "url", F.coalesce("n", F.lit(0)).alias("total_count"), F.col("n").isNotNull().alias("success"))
+    return page_counts(table(spark, sf, "pages_in"), table(spark, sf, "news_items"))
 
 
 def set_operation(name: str) -> Query:
@@ -192,7 +178,42 @@ def collected_articles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def items_as_json(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "news_items").select("item_id", F.to_json(F.struct("title", "url", "publish_time", "timestamp")).alias("item"))
+    return as_json(table(spark, sf, "news_items").select("item_id", "title", "url", "publish_time", "timestamp"), ["item_id"]).withColumnRenamed("json", "item")
+
+
+def literal_nodes(spark: SparkSession) -> DataFrame:
+    """The literal nodes with their paths from the root: (page_id, node, path, lit)."""
+    parents = {(page, n): p for page, n, p, _ in NODES}
+
+    def path(page: int, n: int) -> list[int]:
+        return [*path(page, parents[page, n]), n] if n else []
+
+    return spark.createDataFrame([(page, n, path(page, n), lit) for page, n, _, lit in NODES], "page_id bigint, node int, path array<int>, lit boolean")
+
+
+def literal_lit(spark: SparkSession) -> DataFrame:
+    return literal_nodes(spark).filter("lit").select("page_id", "node", "path")
+
+
+def literal_lists(spark: SparkSession) -> DataFrame:
+    pages = spark.createDataFrame(LISTS, "page_id bigint, url string, html string")
+    return pages.select("page_id", "url", F.col("url").alias("base_url"), "html", F.timestamp_seconds(F.lit(FETCHED)).alias("fetched_at"))
+
+
+def literal_collected(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return collect(literal_lists(spark), spark.createDataFrame(STORIES, "url string, html string"))
+
+
+def literal_similar(spark: SparkSession, sf: str) -> DataFrame:
+    """Similar URLs of literal samples and candidates."""
+    rows = spark.createDataFrame(SIMILAR_ROWS, "page_id bigint, sample string, url string")
+    found = similarity.similar_urls(rows.filter("sample = '1'"), rows.filter("sample = '0'"), ["page_id"])
+    return found.withColumn("score", F.round("score", 6))
+
+
+def literal_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame(BODIES, "id bigint, body string, content_type string").withColumn("body", F.unhex("body"))
+    return rows.select("id", encoding.decoded_page(F.lit(None).cast("string"), F.col("body"), F.col("content_type")).alias("p")).select("id", "p.text", "p.encoding")
 
 
 def queries() -> dict[str, Query]:
@@ -247,6 +268,7 @@ def queries() -> dict[str, Query]:
         "extract_time": of_times(lambda: [times.find_time(F.col("text")).alias("found")]),
         "short_time_text": of_times(lambda: [times.short_time_text(F.col("text")).alias("could_be")]),
         "normalize_time": of_times(lambda: [times.to_epoch(F.col("text")).alias("epoch")]),
+        "normalize_time_relative": of_times(lambda: [times.to_epoch(F.col("text"), F.lit(FETCHED)).alias("epoch")]),
         "normalize_encoding": lambda s, d: literal(s, NAMES, ["name"]).select("name", encoding.normalize_encoding(F.col("name")).alias("encoding")),
         "charset_content_type": lambda s, d: table(s, d, "pages_in").select("page_id", encoding.charset_of_content_type(F.col("content_type")).alias("charset")),
         "charset_html": lambda s, d: table(s, d, "pages_in").filter(F.col("body").isNotNull()).select("page_id", encoding.charset_of_html(F.col("body")).alias("charset")),
@@ -264,7 +286,7 @@ def queries() -> dict[str, Query]:
         "item_article_join": enriched,
         "success_counts": success_counts,
         "list_results": list_results,
-        "valid_articles": lambda s, d: table(s, d, "articles").filter(F.col("success") & (F.length("content") > 50)).select("article_id"),
+        "valid_articles": lambda s, d: table(s, d, "articles").filter(is_valid(F.col("success"), F.col("content"))).select("article_id"),
         "url_operators_union": set_operation("union"),
         "url_operators_intersect": set_operation("intersect"),
         "url_operators_except": set_operation("except"),
@@ -273,7 +295,18 @@ def queries() -> dict[str, Query]:
         "heat_map": lambda s, d: zones.heat_map(lit_links(s, d)),
         "hot_zones": lambda s, d: zones.hot_zones(lit_links(s, d)).select("page_id", "node", "zone", "zone_size", "zone_root"),
         "boundaries": lambda s, d: zones.boundaries(zones.hot_zones(lit_links(s, d))),
-        "list_items": lambda s, d: with_timestamps(list_items(decoded(s, d))),
+        "heat_map_literal": lambda s, d: zones.heat_map(literal_lit(s)),
+        "hot_zones_literal": lambda s, d: zones.hot_zones(literal_lit(s)).select("page_id", "node", "zone", "zone_size", "zone_root"),
+        "boundaries_literal": lambda s, d: zones.boundaries(zones.hot_zones(literal_lit(s))),
+        "subtrees_literal": lambda s, d: zones.within(literal_nodes(s).select("page_id", "node", "path"), zones.hot_zones(literal_lit(s)).select("page_id", F.col("zone").alias("root")).distinct(), "root").select("page_id", "root", "node"),
+        "similar_urls_literal": literal_similar,
+        "decoded_literal": literal_decoded,
+        "list_items_literal": lambda s, d: timed_items(literal_lists(s)),
+        "collect_report_literal": lambda s, d: literal_collected(s)[1],
+        "collected_articles_literal": lambda s, d: literal_collected(s)[0].select("page_id", "pos", "url", "title", "publish_time", "content", "author", "language", "success", "error"),
+        "cluster_ranking": lambda s, d: links.ranked(clustering.structure_clusters(item_urls(s, d), ["page_id"]), ["page_id"], [F.desc("size"), "template", "depth", "has_date"]).select("page_id", "rank", "template", "depth", "has_date", "size", "kept"),
+        "pattern_ranking": lambda s, d: links.ranked(patterns.match_patterns(host_urls(s, d, "news_items"), site_patterns(s, d), ["host"]).withColumn("confidence", F.round("confidence", 6)), ["host"], [F.desc("confidence"), "url"]).select("host", "rank", "url", "confidence", "n_patterns"),
+        "list_items": lambda s, d: timed_items(decoded(s, d)),
         "page_results": lambda s, d: page_results(decoded(s, d)),
         "article_extract": lambda s, d: parse_articles(article_pages(s, d), ("article_id", "url")),
         "articles_as_json": lambda s, d: as_json(table(s, d, "articles"), ["article_id"]),

@@ -26,3 +26,41 @@ TIMES = [
     "Updated: 2024-02-29", "date: 2023-02-29", "nothing here", "20240102",
 ]
 NAMES = ["", "GB2312", " latin1 ", '"UTF-8"', "ISO-8859-1", "ascii", "x-euc-cn", "windows-1251", "'gbk'"]
+#: Nodes of small pages as (page, node, parent, is a lit link): a list and a single link, a page with one lit link, two
+#: links side by side, and a link deeper than boundaries reach.
+NODES = [
+    *((1, n, p, n in (8, 9, 10, 12)) for n, p in ((1, 0), (2, 1), (3, 1), (4, 3), (5, 4), (6, 4), (7, 4), (8, 5), (9, 6), (10, 7), (11, 3), (12, 11), (13, 2))),
+    *((2, n, p, n == 2) for n, p in ((1, 0), (2, 1))),
+    *((3, n, p, n in (3, 5)) for n, p in ((1, 0), (2, 1), (3, 2), (4, 3), (5, 2))),
+    *((4, n, n - 1, n == 14) for n in range(1, 15)), (4, 15, 1, True),
+]
+#: Sample and candidate URLs of a page, around the least similarity: (page, is a sample, URL).
+SIMILAR_ROWS = [
+    *((1, "1", f"https://a.example/news/2024/{n}.html") for n in (123456, 123457, 123458)), *((1, "0", f"https://a.example/{p}") for p in ("news/2024/999999.html", "news/2024/some-long-slug.html", "news/2024/story_77.html", "sport/2024/123456.html", "news/123456.html", "news/2024/01/123456.html", "news/2024/999999.php", "about", "")),
+    (1, "0", "https://b.example/news/2024/999999.html"), (1, "0", "https://m.a.example/news/2024/5.html"),
+    *((2, "1", f"https://c.example/p/{x}") for x in ("a1b2c3d4e5", "f6a7b8c9d0")), *((2, "0", f"https://c.example/p/{x}") for x in ("0a1b2c3d4e", "man-bites-dog", "77", "x/77")),
+]
+#: Fetched bytes: (id, body in hexadecimal digits, content type).
+BODIES = [
+    (1, "636166c3a9", "text/html; charset=utf-8"), (2, "636166e9", "text/html; charset=ISO-8859-1"), (3, "d6d0b9fa", "text/html; charset=gb2312"), (4, "d6d0b9fa", "text/html; charset=utf-8"),
+    (5, "3c6d65746120636861727365743d67626b3ed6d0b9fa", None), (6, "", "text/html; charset=utf-8"), (7, None, None), (8, "e4b8ade59bbd", "text/html; charset=UTF8"),
+]
+_ITEM = '<li class="item"><a href="{url}">{title}</a> <span class="date">{time}</span></li>'
+_STORIES = [
+    ("/news/2024/0102/100001.html", "Harbour council opens the second footbridge", "2024-01-02 10:30"), ("/news/2024/0102/100002.html", "Ferry operator &amp; union agree on a new timetable", "2 hours ago"),
+    ("/news/2024/0101/100003.html", "School board measures the noise near the market", "yesterday"), ("/news/2024/0101/100004.html", "Orchard trust replaces its offer without a quorum", "2024-01-01"),
+    ("/news/2023/1231/100005.html", "Allotment owners archive a notice from the water board", "2023-12-31 08:00:00"), ("/news/2024/0102/100001.html", "Harbour council opens the second footbridge again", "2024-01-02 11:00"),
+]
+#: A list page with navigation and a footer around its items, one of them linked twice; a page without links; no page.
+LISTS = [
+    (1, "https://kel.example/news/", '<html><body><nav><ul><li><a href="/">Home</a></li><li><a href="/about">About us</a></li></ul></nav><main><ul class="news-list">' + "".join(_ITEM.format(url=u, title=t, time=w) for u, t, w in _STORIES) + '</ul></main><footer><a href="/contact">Contact the editors</a></footer></body></html>'),
+    (2, "https://kel.example/empty/", "<html><body><p>Nothing here today.</p></body></html>"), (3, "https://kel.example/none/", None),
+]
+_TEXT = "<p>The council opened the footbridge on Tuesday, a year later than planned, after two rounds of repairs.</p><p>Owners of the allotments had asked for it since the ferry was cut.</p>"
+#: Article pages of two of the items.
+STORIES = [
+    ("https://kel.example/news/2024/0102/100001.html", f'<html lang="en"><head><title>Footbridge opens | Kel</title><meta property="og:title" content="Footbridge opens"><meta name="author" content="N. Brawen"></head><body><article><h1>Footbridge opens</h1>{_TEXT}</article></body></html>'),
+    ("https://kel.example/news/2024/0101/100004.html", "<html><body></body></html>"),
+]
+#: The UTC second at which the literal pages were fetched and from which literal relative times count: 2024-01-02 04:30:00.
+FETCHED = 1704169800
