@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.sites import small_side, url_host
 from newsloom.llm.textcodes import chunks, joined
-from newsloom.session import checkpointed
+from newsloom.session import checkpointed, written
 
 #: A chunk or line is repeated excessively from this many distinct URLs of its site, and this share of them.
 MIN_URLS, MIN_SHARE = 3, 0.1
@@ -116,7 +116,7 @@ def repeated_lines(articles: DataFrame) -> DataFrame:
     no row; repeated rows of a page count as one page and each give their lines; texts of any
     length are cut whole; an empty table gives an empty result.
     """
-    cuts = chunked(articles)
+    cuts = written(chunked(articles))  # read twice: texts are cut once
     totals = articles.filter(F.length("content") > 0).select(url_host(F.col("url")).alias("site_key"), "url").distinct().groupBy("site_key").agg(F.count("*").alias("all_urls"))
     totals = small_side(totals)
     all_chunks = F.array_distinct(F.flatten(F.transform("lines", lambda x: x["chunks"])))
