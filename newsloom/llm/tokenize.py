@@ -22,12 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: The pre-split pattern published with the vocabulary.
 PRESPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words kept per Python process; the cache only saves work and is emptied beyond it.
 CACHE_WORDS = 400_000
+#: Answers about arcs kept per process, likewise.
+CACHE_ARCS = 500_000
 
 
 def default_vocabulary() -> str:
@@ -106,6 +109,8 @@ class TokenAutomaton:
                         break
                     s = self.parent[s]
                 limit, part = self.born[part], self.left[part]
+            if len(self._arc_memo) > CACHE_ARCS:
+                self._arc_memo.clear()
             self._arc_memo[key] = known
         return known
 
@@ -210,13 +215,16 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null and empty texts give an empty list; blank texts are encoded like any other; repeated rows
     give repeated rows; strings that look like special tokens are plain text; an empty table gives
-    an empty table.  Texts of any length are encoded whole.  Other columns are not read.
+    an empty table.  Texts of any length are encoded whole.  Other columns are not read.  The vocabulary
+    file is read where the driver runs and shipped to the executors.
     """
     vocabulary = vocabulary or default_vocabulary()
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    shipped = os.path.basename(vocabulary)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load(vocabulary)
+        encoder = load(SparkFiles.get(shipped))
         for batch in batches:
             for begin in range(0, max(batch.num_rows, 1), 1000):
                 part = batch.slice(begin, 1000)
