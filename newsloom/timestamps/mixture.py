@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.urls import site_host
+from newsloom.session import checkpointed
 from newsloom.timestamps.parse import ORDERS, epoch_seconds, read
 
 #: Likelihood of the lag between a stated time and its crawl: later than the crawl by over a day,
@@ -84,8 +85,8 @@ def choose(readings: dict[str, int], weights: list[float], crawl: int) -> tuple[
     return readings[best], best, same / (sum(joint.values()) or 1.0)
 
 
-def source_weights(records: DataFrame) -> DataFrame:
-    """``(source_key, weights)`` by expectation-maximisation over the counts of patterns."""
+def source_weights(records: DataFrame, known_orders: bool = True) -> DataFrame:
+    """``(source_key, weights)`` by expectation-maximisation over the counts of patterns, with the known order as prior."""
 
     def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -97,7 +98,7 @@ def source_weights(records: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["source_key", "known", *ORDERS])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        weights = fit_source(pdf[list(ORDERS)].to_numpy(), pdf["n"].to_numpy(float), pdf["known"].iloc[0])
+        weights = fit_source(pdf[list(ORDERS)].to_numpy(), pdf["n"].to_numpy(float), pdf["known"].iloc[0] if known_orders else None)
         return pd.DataFrame({"source_key": [pdf["source_key"].iloc[0]], "weights": [weights.tolist()]})
 
     numeric = records.filter(F.col("stated").rlike(NUMERIC) & F.col("crawl").isNotNull())
@@ -110,8 +111,9 @@ def source_weights(records: DataFrame) -> DataFrame:
     return counted.groupBy("source_key").applyInPandas(fit, "source_key string, weights array<double>")
 
 
-def normalize_times(records: DataFrame, sites: DataFrame, certain: float = 0.9) -> DataFrame:
-    """One row for each record that states an instant.
+def normalize_times(records: DataFrame, sites: DataFrame, certain: float = 0.9, known_orders: bool = True) -> DataFrame:
+    """One row for each record that states an instant.  Without ``known_orders``, the orders that sites declare are not used:
+    the records alone tell the order of their source.
 
     ``records``: record_kind, record_id, url, stated (string), counted (bigint), crawl (UTC second).
     ``sites``: host, tz, lang, date_order; one row a host.
@@ -127,9 +129,10 @@ def normalize_times(records: DataFrame, sites: DataFrame, certain: float = 0.9)
     small = sites.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     bounded = F.broadcast if small else (lambda df: df)
     keyed = records.select("record_kind", "record_id", "stated", "counted", "crawl", site_host(F.col("url")).alias("source_key")).join(bounded(hosts), "source_key", "left")
-    weights = source_weights(keyed)
-    # One row a source with known orders at most: the size bound of sites holds for it, too.
-    ready = keyed.join(bounded(weights), "source_key", "left")
+    # one row a host with all-numeric dates, of which there can be more than sites
+    weights = checkpointed(source_weights(keyed, known_orders))
+    few = weights.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    ready = keyed.join(F.broadcast(weights) if few else weights, "source_key", "left")
     schema = "record_kind string, record_id bigint, utc_second bigint, basis string, date_order string, posterior double, ambiguous boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +143,7 @@ def normalize_times(records: DataFrame, sites: DataFrame, certain: float = 0.9)
                 found = readings(text, tz, lang, crawl if crawl is not None else 0)
                 if found is not None:
                     if weights is None:
-                        weights = fit_source(np.full((1, 3), -1), np.zeros(1), known).tolist()
+                        weights = fit_source(np.full((1, 3), -1), np.zeros(1), known if known_orders else None).tolist()
                     second, order, sure = choose(found, weights, crawl or 0)
                     out.append((kind, rid, second, "stated", order or None, sure, sure < certain or tz is None))
                 elif (second := epoch_seconds(count)) is not None:
@@ -153,7 +156,7 @@ def normalize_times(records: DataFrame, sites: DataFrame, certain: float = 0.9)
     return ready.select("record_kind", "record_id", "stated", "counted", "crawl", "tz", "lang", "known", "weights").mapInArrow(run, schema)
 
 
-def publication_times(items: DataFrame, articles: DataFrame, sites: DataFrame) -> DataFrame:
+def publication_times(items: DataFrame, articles: DataFrame, sites: DataFrame, known_orders: bool = True) -> DataFrame:
     """``normalize_times`` over news items and articles."""
     a = items.select(
         F.lit("item").alias("record_kind"), F.col("item_id").alias("record_id"), "url", F.col("publish_time").alias("stated"),
@@ -163,4 +166,4 @@ def publication_times(items: DataFrame, articles: DataFrame, sites: DataFrame) -
         F.lit("article").alias("record_kind"), F.col("article_id").alias("record_id"), "url", F.col("publish_time").alias("stated"),
         F.lit(None).cast("bigint").alias("counted"), utc_second("crawled_at", articles.schema["crawled_at"].dataType.simpleString()).alias("crawl"),
     )
-    return normalize_times(a.unionByName(b), sites)
+    return normalize_times(a.unionByName(b), sites, known_orders=known_orders)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.timestamps.mixture import fit_source, normalize_times
+from newsloom.timestamps.mixture import fit_source, normalize_times, publication_times
 from newsloom.timestamps.parse import epoch_seconds, read
 
 
@@ -106,3 +106,15 @@ def test_clashing_columns_do_not_matter(spark):
     sites = spark.createDataFrame([("a.example", "UTC", "en", "mdy")], SITES).withColumn("weights", F.lit(1)).withColumn("known", F.lit("x"))
     rows = spark.createDataFrame([("item", 1, "https://a.example/x", "2023-06-01", None, CRAWL, "x")], RECORDS).withColumn("tz", F.lit("?")).withColumn("source_key", F.lit("?"))
     assert normalize_times(rows, sites).count() == 1
+
+
+def test_orders_are_learned_without_being_known(spark, data):
+    """Sites' declared orders against those that their records alone tell."""
+    folder = data.replace("sf0.001", "sf0.01")
+    items, articles, sites = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("news_items", "articles", "sites"))
+    told = publication_times(items, articles, sites).filter("date_order is not null")
+    alone = publication_times(items, articles, sites, known_orders=False).filter("date_order is not null")
+    both = told.alias("a").join(alone.alias("b"), ["record_kind", "record_id"]).select(F.col("a.utc_second").alias("x"), F.col("b.utc_second").alias("y"), F.col("b.ambiguous").alias("open")).collect()
+    wrong = [r for r in both if r.x != r.y]
+    assert len(both) > 100 and len(wrong) <= 0.02 * len(both)
+    print(len(both), len(wrong), sum(r.open for r in both), sum(r.open for r in wrong))
