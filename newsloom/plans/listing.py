@@ -35,6 +35,7 @@ class ListConfig:
     learn_structure: bool = True
 
 
+# Class names and patterns by which lists, navigation, items, times and titles are known.
 TIME_FORMS = tuple(re.compile(f) for f in FORMS)
 TIME_CLASSES = ("time", "date", "publish", "posted", "created", "datetime", "meta")
 LIST_CLASS = re.compile(r"(?:news|article|story|post)[_-]?list|list[_-]?(?:content|item)|feed|entry|hot[_-]?box|yaowen|xinwen|liebiao|zixun|dongtai", re.I)
@@ -395,7 +396,7 @@ class Page:
         return None
 
     def title_of(self, a: Node) -> tuple[str | None, int]:
-        """(title, score) of a link: headings in it, its title attribute, its text, headings around it."""
+        """(title, score) of a link: headings in it, its title attribute, its text, headings around it.  The scores are fixed values."""
         for tag, score in (("h1", 100), ("h2", 90), ("h3", 80), ("h4", 70)):
             if (h := self.first(a, lambda d, tag=tag: d.tag == tag)) and len(t := plain_text(self.text(h))) >= 4:
                 return t, score
@@ -561,6 +562,7 @@ def of_container(page: Page, box: Node, config: ListConfig) -> list[Item]:
 
 
 def score(items: list[Item]) -> float:
+    """Points of a list of items; fixed values."""
     n = len(items)
     lengths = [len(t) for t, _, _ in items]
     mean = sum(lengths) / n

@@ -22,6 +22,7 @@ DROPPED = frozenset("script style noscript iframe template".split())
 ENDS = {"li": ("li",), "p": ("p", "div", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "li", "header", "footer", "nav", "main", "aside", "blockquote", "form"), "a": ("a",), "td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "tr": ("tr",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 SCOPES = frozenset("ul ol table div section article main body html nav header footer aside select dl".split())
 #: Depth below which elements are kept as siblings.
+#: Elements nested deeper than this become siblings of the last one that deep; their links, texts and order stay.
 MAX_DEPTH = 200
 _SPACES = re.compile(r"\s+")
 
