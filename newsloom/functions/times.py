@@ -49,7 +49,8 @@ def to_epoch(text: Column, reference_ts: Column | None = None) -> Column:
     absolute = F.unix_timestamp(F.to_utc_timestamp(wall, ZONE))
     if reference_ts is None:
         return absolute
-    amount = F.expr("1") * F.nullif(F.regexp_extract(t, r"^([0-9]+)", 1), F.lit("")).cast("bigint")
+    t = F.regexp_replace(t, r"^\s+|\s+$", "")
+    amount = F.nullif(F.regexp_extract(t, r"^([0-9]+)", 1), F.lit("")).cast("bigint")
     unit = (
         F.when(t.rlike(r"(?i)^[0-9]+\s*(?:秒|seconds?)"), 1)
         .when(t.rlike(r"(?i)^[0-9]+\s*(?:分钟|minutes?|mins?)"), 60)
@@ -60,7 +61,7 @@ def to_epoch(text: Column, reference_ts: Column | None = None) -> Column:
     # wall clock of the zone at the reference, in the fields of a timestamp
     clock = F.from_utc_timestamp(F.timestamp_seconds(reference_ts), ZONE)
     back = lambda wall: F.unix_timestamp(F.to_utc_timestamp(wall, ZONE))
-    months = F.make_interval(months=-amount.cast("int")) if hasattr(F, "make_interval") else None
+    months = F.make_interval(months=-amount.cast("int"))
     relative = (
         F.when(t.rlike(r"(?i)^[0-9]+\s*months?\s*ago$"), back(clock + months))
         .when(t.rlike(r"(?i)前$|ago$"), reference_ts - amount * unit)

@@ -278,7 +278,7 @@ _opened = "The council opened the footbridge on Tuesday, a year later than plann
 _moment = f"to_timestamp({FETCHED}) AT TIME ZONE 'UTC' + INTERVAL 8 HOUR"
 _back = lambda wall: f"(epoch({wall}) - 28800)::BIGINT"
 _count = "nullif(regexp_extract(r, '^([0-9]+)', 1), '')::BIGINT"
-_r = f"replace(replace(replace(regexp_replace(regexp_replace(trim(t), {_pre}, ''), {_pre}, ''), '小時', '小时'), '分鐘', '分钟'), '週', '周')"
+_r = rf"regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(trim(t), {_pre}, ''), {_pre}, ''), '小時', '小时'), '分鐘', '分钟'), '週', '周'), '^\s+|\s+$', '', 'g')"
 RELATIVE = rf"""SELECT t AS text, coalesce({_back(_wall)},
  CASE WHEN regexp_matches(r, '(?i)^[0-9]+\s*months?\s*ago$') THEN {_back(f"{_moment} - to_months({_count}::INT)")}
   WHEN regexp_matches(r, '(?i)前$|ago$') THEN {FETCHED} - {_count} * CASE WHEN regexp_matches(r, '(?i)^[0-9]+\s*(?:秒|seconds?)') THEN 1 WHEN regexp_matches(r, '(?i)^[0-9]+\s*(?:分钟|minutes?|mins?)') THEN 60
